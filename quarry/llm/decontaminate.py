@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from quarry.llm.common import ascii_lower
 
 #: A maximal run of 0-9, a-z and everything beyond ASCII, after lower-casing A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 #: The same on text whose case is kept, with what stands before each word.
-PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$"
+PIECE = r"[\x00-/:-@\[-`{-\x7F]*[0-9A-Za-z\x80-\x{10FFFF}]+|[\x00-/:-@\[-`{-\x7F]+$"
 NGRAM = 10
 #: Windows up to this number are broadcast: at some 250 bytes each, 50 MB. More are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
+#: Stands for the hash of the window of no words that each text has.
+NO_WINDOW = -1
 
 
 def words(text: Column) -> Column:
@@ -46,22 +48,36 @@ def benchmark_windows(benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     return each.groupBy("n", "window").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.xxhash64("window").alias("window_hash"), "n", "window", "items")
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, text_hash, positions, items) for each text in which a window occurs; positions: of the hit words, from 0."""
+def scan(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, text_hash, rows, n_words, positions, items) of each distinct document, in one pass over the texts.
+
+    rows: how often the document occurs; positions: of the hit words, from 0; items: those whose windows occur.
+    Besides its windows each text gives one row that matches a window of no words, so that none is lost.
+    """
     windows = benchmark_windows(benchmark, n)
     sizes = {r["n"]: r["count"] for r in windows.groupBy("n").count().collect()}  # n rows at most
     parts = []
-    for length in sorted(sizes) or [n]:
+    for k, length in enumerate(sorted(sizes) or [n]):
         own = windows.where(F.col("n") == length)
+        if k == 0:
+            own = own.unionByName(windows.sparkSession.sql(f"SELECT {NO_WINDOW} AS window_hash, 0 AS n, cast(array() AS array<string>) AS window, cast(NULL AS array<string>) AS items"))
         if sum(sizes.values()) <= broadcast_windows:
             own = F.broadcast(own)
-        texts = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-        at = texts.select("doc_id", "text_hash", "w", F.posexplode(_at(F.col("w"), length)).alias("pos", "found"))
-        same = (at["found"] == own["window_hash"]) & (F.slice(at["w"], at["pos"] + 1, length) == own["window"])
-        parts.append(at.join(own, same).select("doc_id", "text_hash", F.struct("pos", "n").alias("span"), "items"))
-    spans = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
+        texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+        hashes = _at(F.col("w"), length)
+        at = texts.select("doc_id", "text_hash", "w", F.posexplode(F.concat(hashes, F.array(F.lit(NO_WINDOW)).cast("array<bigint>")) if k == 0 else hashes).alias("pos", "found"))
+        same = (at["found"] == own["window_hash"]) & (F.slice(at["w"], at["pos"] + 1, own["n"]) == own["window"])
+        span = F.when(F.col("n") > 0, F.struct("pos", "n"))
+        parts.append(at.join(own, same).select("doc_id", "text_hash", F.when(F.col("n") == 0, F.size("w")).alias("words"), span.alias("span"), "items"))
+    each = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "text_hash")
+    spans = each.agg(F.count("words").alias("rows"), F.max("words").cast("bigint").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
     places = F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))
-    return spans.select("doc_id", "text_hash", F.array_distinct(places).alias("positions"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    return spans.select("doc_id", "text_hash", "rows", "n_words", F.array_distinct(places).alias("positions"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+
+
+def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
+    """(doc_id, text_hash, positions, items) of each distinct document in which a window occurs."""
+    return scan(documents, benchmark, n).where(F.size("positions") > 0).select("doc_id", "text_hash", "positions", "items")
 
 
 def _with_hits(documents: DataFrame, hits: DataFrame, how: str) -> DataFrame:
@@ -71,18 +87,14 @@ def _with_hits(documents: DataFrame, hits: DataFrame, how: str) -> DataFrame:
 
 def report(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """One row for each document: how many words it has, how many are hit, and by which items."""
-    counted = documents.select("doc_id", F.xxhash64("text").alias("_own_hash"), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
-    found = find_hits(documents, benchmark, n).select(
-        F.col("doc_id").alias("_doc_id"), "text_hash", F.size("positions").alias("hit"), F.size("items").alias("held"), F.sha2(F.array_join("items", ","), 256).alias("sha")
-    )
-    both = counted.join(found, counted["doc_id"].eqNullSafe(found["_doc_id"]) & (counted["_own_hash"] == found["text_hash"]), "left")
-    return both.select(
+    found = scan(documents, benchmark, n).select("*", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_row"))
+    return found.select(
         "doc_id",
         "n_words",
-        F.coalesce("hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.coalesce("held", F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"),
+        F.size("positions").cast("bigint").alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("positions") > 0).alias("contaminated"),
     )
 
 
