@@ -47,17 +47,17 @@ def paths(messages: DataFrame) -> DataFrame:
     and no round makes more rows than the result has.
     """
     links = messages.select("tree", "node", "parent")
-    known = links.select("tree", "node").alias("k")
-    jump = links.join(known, F.col("parent").isNotNull() & F.col("k.tree").eqNullSafe(links["tree"]) & (F.col("k.node") == links["parent"])).select(links["tree"], links["node"], F.col("parent").alias("above"))
-    jump = materialize(jump, "chat-jump")
+    known = links.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    child = links.where("parent is not null")
+    jump = materialize(child.join(known, child["tree"].eqNullSafe(known["t"]) & (child["parent"] == known["n"])).select("tree", "node", F.col("parent").alias("above")), "chat-jump")
     inner = jump.select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
     found = links.join(inner, links["tree"].eqNullSafe(inner["t"]) & (links["node"] == inner["n"]), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up"))
     step = 1
     while not jump.isEmpty():
-        hop = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "above")
-        further = found.join(hop, found["tree"].eqNullSafe(hop["t"]) & (found["node"] == hop["n"])).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
+        hop = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("a"))
+        further = found.join(hop, found["tree"].eqNullSafe(hop["t"]) & (found["node"] == hop["n"])).select("tree", "leaf", F.col("a").alias("node"), (F.col("up") + step).alias("up"))
         found = found.unionByName(materialize(further, "chat-paths"))
-        onward = jump.join(hop, jump["tree"].eqNullSafe(hop["t"]) & (jump["above"] == hop["n"])).select(jump["tree"], jump["node"], hop["above"])
+        onward = jump.join(hop, jump["tree"].eqNullSafe(hop["t"]) & (jump["above"] == hop["n"])).select("tree", "node", F.col("a").alias("above"))
         jump = materialize(onward, "chat-jump")
         step *= 2
     return found
@@ -68,6 +68,7 @@ def ranked_branches(messages: DataFrame, branches: int | None = None) -> DataFra
 
     branches: how many of each tree to keep; None keeps all.
     """
+    messages = materialize(messages, "chat-messages")
     on = paths(messages)
     told = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text", "score")
     full = on.join(told, on["tree"].eqNullSafe(told["t"]) & (on["node"] == told["n"]))

@@ -38,3 +38,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
+
+
+def fold(doc_id: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo folds; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

@@ -15,8 +15,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
@@ -126,22 +127,18 @@ class Model:
 
 
 def predict(documents: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """All columns of documents with lang_pred and score; neither name may be taken."""
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(profiles)  # size rows for each language
+    """All columns of documents and `lang_id`, a struct of lang_pred and score; a column lang_id is replaced."""
+    sent = documents.sparkSession.sparkContext.broadcast(profiles)  # size numbers for each language
 
     @F.pandas_udf("lang_pred string, score double")
-    def tell(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def tell(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Model(sent.value, size)
         for part in texts:
             yield pd.DataFrame([model.predict(t) for t in part], columns=["lang_pred", "score"])
 
-    tell.__annotations__ = {}
-    return documents, tell
+    return documents.withColumn("lang_id", tell("text"))
 
 
-def held_out(doc_id, folds: int = 5):
-    """True for documents that no training sees: crc32 of the id as text divides by the number of folds."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0
+def identify(documents: DataFrame, training: Column) -> DataFrame:
+    """predict() with profiles learnt from the rows for which training holds."""
+    return predict(documents, learn_profiles(documents.where(training)))

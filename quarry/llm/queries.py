@@ -3,14 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate
-from quarry.llm.common import table
+from quarry.llm import chat, decontaminate, langid, media, packing, token_files
+from quarry.llm.common import fold, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination}
-ORACLES = {"op1_decontamination": decontaminate.SQL}
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in chat.EXTRA) + " AS t(conv_id, turn, role, text)")
+    return chat.digest(chat.format_turns(chat.ranked_branches(chat.replies(rows.unionByName(extra)))))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return langid.identify(docs.select("doc_id", "text", "lang"), ~held_out).select("doc_id", held_out.alias("held_out"), "lang_id.lang_pred", "lang_id.score")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.features(media.store(table(spark, sf_dir, "documents")))
+    digest = F.concat_ws(":", F.size("prints"), F.sha2(F.array_join("prints", ","), 256)).alias("feature")
+    return found.select(*[c for c in found.columns if c != "prints"], digest)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op4_language_id, op5_token_files, op7_packing, op8_media_columns)}
+ORACLES = {"op1_decontamination": decontaminate.SQL, "op2_chat_formatting": chat.SQL}
