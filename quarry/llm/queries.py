@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, langid, media, packing, token_files
+from quarry.llm import chat, decontaminate, html_extract, langid, media, packing, quality, token_files
 from quarry.llm.common import fold, table
 
 
@@ -29,6 +29,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.train_and_score(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,5 +45,9 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[c for c in found.columns if c != "prints"], digest)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op4_language_id, op5_token_files, op7_packing, op8_media_columns)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("*", F.length("text").cast("bigint").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op4_language_id, op5_token_files, op6_quality, op7_packing, op8_media_columns, op10_html_extraction)}
 ORACLES = {"op1_decontamination": decontaminate.SQL, "op2_chat_formatting": chat.SQL}
