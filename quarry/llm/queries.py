@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, html_extract, langid, media, packing, quality, token_files
+from quarry.llm import chat, decontaminate, html_extract, langid, media, packing, quality, substring_dedup, token_files
 from quarry.llm.common import fold, table
 
 
@@ -45,9 +45,14 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[c for c in found.columns if c != "prints"], digest)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "repeats.n_sentences", "repeats.n_removed", "text")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("*", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op4_language_id, op5_token_files, op6_quality, op7_packing, op8_media_columns, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op4_language_id, op5_token_files, op6_quality, op7_packing, op8_media_columns, op9_substring_dedup, op10_html_extraction)}
 ORACLES = {"op1_decontamination": decontaminate.SQL, "op2_chat_formatting": chat.SQL}
