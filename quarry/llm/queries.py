@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, html_extract, langid, media, packing, quality, substring_dedup, token_files
+from quarry.llm import chat, decontaminate, html_extract, jaccard_join, langid, media, packing, quality, substring_dedup, token_files
 from quarry.llm.common import fold, table
 
 
@@ -19,6 +19,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(chat.ranked_branches(chat.replies(rows.unionByName(extra)))))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
@@ -54,5 +58,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("*", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op4_language_id, op5_token_files, op6_quality, op7_packing, op8_media_columns, op9_substring_dedup, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_jaccard_join, op4_language_id, op5_token_files, op6_quality, op7_packing, op8_media_columns, op9_substring_dedup, op10_html_extraction)}
 ORACLES = {"op1_decontamination": decontaminate.SQL, "op2_chat_formatting": chat.SQL}
