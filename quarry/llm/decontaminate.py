@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower
+from quarry.llm.common import ascii_lower, bounded, materialize
 
 #: A maximal run of 0-9, a-z and everything beyond ASCII, after lower-casing A-Z.
 WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
@@ -100,7 +100,8 @@ def report(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFr
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """The documents without any hit, all columns kept."""
-    return _with_hits(documents, find_hits(documents, benchmark, n).select("doc_id", "text_hash"), "left_anti")
+    hits = materialize(find_hits(documents, benchmark, n).select("doc_id", "text_hash"), "contaminated")
+    return _with_hits(documents, bounded(hits), "left_anti")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:

@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import BROADCAST_ROWS, bounded, materialize
 
 SHINGLE = 5
 #: Similarity of at least 75 / 100. The bound on differing members, (|A| + |B|) / 7, follows from it.
@@ -40,8 +40,6 @@ MEMBERS, SLACK = 2.0, 10
 SMALL, BLOCK = 64, 2048
 #: Of the sketches of a large meeting that are near enough, so many for each document and component are compared at first.
 NEAREST = 4
-#: Tables of two numbers a row are broadcast up to this many rows (some 50 MB), else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 ROWS = 500
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -92,13 +90,8 @@ def keys(members: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _owed(n: np.ndarray) -> np.ndarray:
-    """How many keys a set of this size shares with any similar one, at least."""
-    return 1 + (n * SHARE[0] // SHARE[1]) // SLACK
-
-
 def sketch(members: np.ndarray) -> bytes:
-    """Parity sketch of 4 ** (level + 3) bits: by the low bits of the members."""
+    """Parity sketch of 2 * 4 ** (level + 3) bits, more than the set has members: by their low bits."""
     bits = 4 ** (_level(len(members)) + 3) * 2
     count = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(count & 1).tobytes()
@@ -196,11 +189,6 @@ def meetings(documents: DataFrame) -> DataFrame:
     return _keyed(documents).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "meeting long, node long")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small enough; it must have been written already."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by columns, and where runs of equal rows begin in it."""
     order = np.lexsort(columns[::-1])
@@ -214,7 +202,7 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _centres(met: DataFrame) -> DataFrame:
     """(a, b): each node with the centre it meets most often; a meeting's centre is its node with most meetings."""
     often = materialize(met.groupBy("node").agg(F.count("*").alias("often")), "jaccard-often")
-    ordered = met.join(_bounded(often), "node").repartition("meeting").sortWithinPartitions("meeting", F.desc("often"), "node").select("meeting", "node")
+    ordered = met.join(bounded(often), "node").repartition("meeting").sortWithinPartitions("meeting", F.desc("often"), "node").select("meeting", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = centre = -1
@@ -267,7 +255,7 @@ def _similar(pairs: DataFrame, described: DataFrame, documents: DataFrame) -> Da
     """The pairs whose sets are similar, by their members."""
     hashes = materialize(_by_node(described, _ends(pairs), "text_hash").withColumnRenamed("text_hash", "own"), "jaccard-hashes")
     texts = documents.where("text is not null").select("text").withColumn("text_hash", F.xxhash64("text"))
-    near = _bounded(hashes)
+    near = bounded(hashes)
     rows = materialize(texts.join(near, F.col("text_hash") == F.col("own")).select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +300,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _apart(met: DataFrame, labels: DataFrame) -> DataFrame:
     """Of small meetings the pairs (a, b) in different components; of large ones the rows (a, meeting)."""
-    told = met.join(_bounded(labels), "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
+    told = met.join(bounded(labels), "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -358,12 +346,11 @@ def _large(rows: DataFrame, labels: DataFrame, described: DataFrame, nearest: in
 
     more: whether the two components have further such pairs in that meeting.
     """
-    from pyspark.sql import Window
-
     told = rows.join(labels, "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
     open_yet = told.groupBy("meeting").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("meeting")
     told = told.join(open_yet, "meeting", "left_semi")
     sizes = _by_node(described, told.select("node").distinct(), "n", "sketch")
+    # a set shares more keys with any similar one than may differ: what SLACK adds, of the smaller of the two
     owing = told.groupBy("node").agg(F.count("*").alias("met")).join(sizes, "node").where(F.col("met") >= 1 + F.floor(F.floor(F.col("n") * SHARE[0] / SHARE[1]) / SLACK)).drop("met")
     place = Window.partitionBy("meeting").orderBy("node")
     placed = told.join(owing, "node").withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK).cast("int"))
@@ -438,5 +425,5 @@ def join(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents, all columns kept, without those whose component has a smaller doc_id."""
     gone = join(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = _bounded(materialize(gone, "jaccard-gone"))
+    gone = bounded(materialize(gone, "jaccard-gone"))
     return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")

@@ -29,7 +29,7 @@ LENGTH = 1024
 OPEN_WINDOWS = 64
 #: Partitions whose leftovers meet in one merge: at most 64 * 64 windows of 1,024 ids.
 MERGED_PARTS = 64
-ROWS = 500
+ROWS = 2000
 _END = np.array([END_ID], "<u2")
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "ids"]
 
@@ -124,7 +124,7 @@ def pack(documents: DataFrame, length: int = LENGTH, windows: int = OPEN_WINDOWS
             for at in range(0, batch.num_rows, ROWS):
                 cut = batch.slice(at, ROWS)
                 rows = []
-                for doc, ids in zip(cut.column("doc_id").to_pylist(), encode([t or "" for t in cut.column("text").to_pylist()]), strict=True):
+                for doc, ids in zip(cut.column("doc_id").to_pylist(), encode(cut.column("text")), strict=True):
                     rows += [row(part, x) for x in packer.add(doc, np.append(ids, _END))]
                 if rows:
                     yield batch_of(rows)

@@ -27,7 +27,7 @@ from quarry.llm.tokens import END_ID, encoder
 #: A block is closed once it holds so many ids.
 BLOCK_IDS = 1 << 16
 #: Texts encoded at a time.
-ROWS = 500
+ROWS = 2000
 _END = np.array([END_ID], "<u2")
 
 
@@ -40,7 +40,7 @@ def tokenize(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 cut = batch.slice(at, ROWS)
-                ids = [np.append(x, _END) for x in encode([t or "" for t in cut.column("text").to_pylist()])]
+                ids = [np.append(x, _END) for x in encode(cut.column("text"))]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())

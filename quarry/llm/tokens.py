@@ -8,18 +8,26 @@ tokenizers library; texts in which those places are not certain are encoded whol
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Encoded pieces that one Python worker remembers: some 250 MB. Others are encoded each time they come.
-CACHE_PIECES = 1_000_000
+#: Encoded pieces that one Python worker remembers: some 250 MB. Others are encoded again in each batch they come in.
+CACHE_PIECES = 1_200_000
 _LINE_FEED = 198
-#: White space other than space and line feed, as str.isspace has it.
-_OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
-#: With any of these in a text it is encoded whole: runs of white space or of punctuation.
-_UNSURE = ("..", ",,", ".,", ",.", " .", " ,", "\n.", "\n,", "  ", "\n\n", " \n", "\n ", "\x00", "<|", *_OTHER_SPACE)
+#: With any of this in a text it is encoded whole: runs of white space or of punctuation, other white space, specials.
+_UNSURE = r"[.,\n ][.,]|[ \n][ \n]|[ \n]$|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the letter that stands for it in byte-level vocabularies: itself if printable, else the next from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class PieceEncoder:
@@ -36,49 +44,49 @@ class PieceEncoder:
         self._whole = Tokenizer.from_file(path)
         if self._whole.get_vocab_size() > 65536:
             raise ValueError("ids must fit 16 bits")
-        self._cache: dict[str, bytes] = {"": b"", "\n": np.array([_LINE_FEED], "<u2").tobytes()}
+        self._model = self._whole.model
+        self._letters = _byte_letters()
+        self._cache: dict[str, bytes] = {"": b"", "\n": array("H", [_LINE_FEED]).tobytes()}
         self._most = cache_pieces
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u2")
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        ids = self._ids("\n".join(pieces))
-        ends = np.append(np.flatnonzero(ids == _LINE_FEED), len(ids)).tolist()
-        raw, start, new = ids.tobytes(), 0, {}
-        for piece, end in zip(pieces, ends, strict=True):
-            new[piece] = raw[2 * start : 2 * end]
-            start = end + 1
-        return new
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            if any(x in text for x in _UNSURE) or text[-1:] in (" ", "\n"):
-                pieces.append(None)
-            else:
-                pieces.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0"))
-        known = self._cache
-        new = set().union(*(p for p in pieces if p)) - known.keys()
-        if new:
-            learnt = self._learn(list(new))
-            if len(known) + len(learnt) <= self._most:
-                known.update(learnt)
-            else:
-                known = known | learnt if len(known) < 4 * len(learnt) else _Two(known, learnt)
-        get = known.__getitem__
-        return [self._ids(text) if p is None else np.frombuffer(b"".join(map(get, p)), "<u2") for text, p in zip(texts, pieces, strict=True)]
-
-
-class _Two:
-    """Two dictionaries read as one."""
-
-    def __init__(self, first: dict, second: dict):
-        self._first, self._second = first, second
-
-    def __getitem__(self, key):
-        found = self._first.get(key)
-        return self._second[key] if found is None else found
+    def _learn(self, piece: str) -> bytes:
+        if piece.lstrip(" ").isalpha():  # one pre-token
+            ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
+        else:
+            ids = self._whole.encode(piece, add_special_tokens=False).ids
+        return array("H", ids).tobytes()
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.fill_null("")
+        unsure = pc.match_substring_regex(texts, _UNSURE)
+        sure = pc.if_else(unsure, "", texts)
+        for mark, cut in ((" ", "\0 "), ("\n", "\0\n\0"), (".", "\0."), (",", "\0,")):
+            sure = pc.replace_substring(sure, mark, cut)
+        split = pc.split_pattern(sure, "\0")
+        pieces = split.flatten().dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        known = list(map(self._cache.get, words))
+        for k, ids in enumerate(known):
+            if ids is None:
+                known[k] = ids = self._learn(words[k])
+                if len(self._cache) < self._most:
+                    self._cache[words[k]] = ids
+        # the ids of all pieces, gathered from the distinct ones
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 1
+        start = np.cumsum(size) - size
+        code = pieces.indices.to_numpy()
+        each = size[code]
+        end = np.cumsum(each)
+        total = int(end[-1]) if len(end) else 0
+        flat = np.frombuffer(b"".join(known), "<u2")[np.arange(total) + np.repeat(start[code] - (end - each), each)]
+        bounds = np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for k in np.flatnonzero(unsure.to_numpy(zero_copy_only=False)):
+            out[k] = self._ids(texts[int(k)].as_py())
+        return out
 
 
 _ENCODERS: dict[str | None, PieceEncoder] = {}
