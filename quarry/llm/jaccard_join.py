@@ -91,8 +91,8 @@ def keys(members: np.ndarray) -> np.ndarray:
 
 
 def sketch(members: np.ndarray) -> bytes:
-    """Parity sketch of 2 * 4 ** (level + 3) bits, more than the set has members: by their low bits."""
-    bits = 4 ** (_level(len(members)) + 3) * 2
+    """Parity sketch of two to four bits for each member, by the members' low bits."""
+    bits = max(128, 1 << (2 * len(members) - 1).bit_length())
     count = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(count & 1).tobytes()
 
@@ -222,11 +222,6 @@ def _centres(met: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _by_node(described: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
-    """One row of `described` for each of the nodes."""
-    return described.select("node", *columns).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
@@ -238,9 +233,8 @@ def _both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs
 
 
-def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that sizes and sketches allow."""
-    rows = materialize(_by_node(described, _ends(pairs), "n", "sketch"), "jaccard-sketches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,15 +242,15 @@ def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
             fit = _near(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), n_a, n_b)
             yield batch.select(["a", "b"]).filter(pa.array(fit))
 
-    return _both(pairs, rows).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    both = _both(pairs, nodes.select("node", "n", "sketch"))
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _similar(pairs: DataFrame, described: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar, by their members."""
-    hashes = materialize(_by_node(described, _ends(pairs), "text_hash").withColumnRenamed("text_hash", "own"), "jaccard-hashes")
+def _similar(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (written already) whose sets are similar, by their members."""
+    own = materialize(nodes.select("node", F.col("text_hash").alias("own")).join(_ends(pairs), "node", "left_semi"), "jaccard-hashes")
     texts = documents.where("text is not null").select("text").withColumn("text_hash", F.xxhash64("text"))
-    near = bounded(hashes)
-    rows = materialize(texts.join(near, F.col("text_hash") == F.col("own")).select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
+    rows = materialize(texts.join(bounded(own), F.col("text_hash") == F.col("own")).select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, shingles(None)
@@ -276,28 +270,42 @@ def _similar(pairs: DataFrame, described: DataFrame, documents: DataFrame) -> Da
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of links (a, b): equal labels for one component.
 
-    Each round every node hooks on to the least of itself and its neighbours, in an order that is drawn anew, and the
-    links between what hooks on to different nodes remain: the graph shrinks by a constant factor.
+    Each round every node hooks on to the first of itself and its neighbours, those with most neighbours first, and
+    the links between what hooks on to different nodes remain. Ties are broken by an order that is drawn anew, so the
+    graph shrinks by a constant factor, and stars vanish at once.
     """
     labels, turn = None, 0
-    links = materialize(links.distinct(), "links")
+    links = materialize(links.where("a <> b").distinct(), "links")
     while labels is None or not links.isEmpty():
-        rank = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: B023, E731
         ends = links.union(links.select("b", "a")).toDF("u", "v")
-        least = ends.groupBy("u").agg(F.min_by("v", F.struct(rank("v"), "v")).alias("v"))
-        hook = F.when(F.struct(rank("v"), "v") < F.struct(rank("u"), F.col("u").alias("v")), F.col("v")).otherwise(F.col("u"))
-        hooks = materialize(least.select("u", hook.alias("to")), "hooks")
+        degree = materialize(ends.groupBy("u").agg(F.count("*").alias("d")), "degrees")
+        rank = lambda c, d: F.struct(F.col(d).alias("d"), F.xxhash64(c, F.lit(turn)).alias("r"), F.col(c).alias("k"))  # noqa: B023, E731
+        of = bounded(degree)
+        best = ends.join(of.toDF("v", "dv"), "v").groupBy("u").agg(F.max(rank("v", "dv")).alias("best"))
+        hooks = materialize(best.join(of.toDF("u", "du"), "u").select("u", F.greatest("best", rank("u", "du"))["k"].alias("to")), "hooks")
+        near = bounded(hooks)
         if labels is None:
             labels = hooks.toDF("node", "label")
         else:
-            labels = materialize(labels.join(hooks, labels["label"] == hooks["u"], "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            labels = materialize(labels.join(near, F.col("label") == F.col("u"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         for end in ("a", "b"):
-            links = links.join(hooks.toDF(end, f"to_{end}"), end)
+            links = links.join(near.toDF(end, f"to_{end}"), end)
         links = materialize(links.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "links")
         turn += 1
     return labels
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: only the components that these touch are looked at again."""
+    of = bounded(labels)
+    for end in ("a", "b"):
+        links = links.join(of.toDF("_node", "_label"), F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("_label", end)).drop("_node", "_label")
+    fresh = components(links)
+    told = labels.join(bounded(fresh).toDF("_node", "_to"), F.col("label") == F.col("_node"), "left").select("node", F.coalesce("_to", "label").alias("label"))
+    new = fresh.join(of.select("node"), "node", "left_anti")
+    return materialize(told.unionByName(new), "labels")
+
+
 def _apart(met: DataFrame, labels: DataFrame) -> DataFrame:
     """Of small meetings the pairs (a, b) in different components; of large ones the rows (a, meeting)."""
     told = met.join(bounded(labels), "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
@@ -341,21 +349,20 @@ def _apart(met: DataFrame, labels: DataFrame) -> DataFrame:
     return told.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(run, "a long, b long, meeting long")
 
 
-def _large(rows: DataFrame, labels: DataFrame, described: DataFrame, nearest: int) -> DataFrame:
+def _large(rows: DataFrame, labels: DataFrame, nodes: DataFrame, nearest: int) -> DataFrame:
     """(a, b, more): of large meetings (meeting, node), for each two components the nearest pairs that sketches allow.
 
     more: whether the two components have further such pairs in that meeting.
     """
-    told = rows.join(labels, "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
-    open_yet = told.groupBy("meeting").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("meeting")
-    told = told.join(open_yet, "meeting", "left_semi")
-    sizes = _by_node(described, told.select("node").distinct(), "n", "sketch")
+    told = rows.join(bounded(labels), "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
+    all_of, place = Window.partitionBy("meeting"), Window.partitionBy("meeting").orderBy("node")
+    open_yet = told.withColumns({"low": F.min("label").over(all_of), "high": F.max("label").over(all_of)}).where("low < high")
+    placed = open_yet.select("meeting", "node", "label", F.floor((F.row_number().over(place) - 1) / BLOCK).cast("int").alias("block"), F.ceil(F.count("*").over(all_of) / BLOCK).cast("int").alias("blocks"))
+    placed = materialize(placed, "jaccard-placed")
     # a set shares more keys with any similar one than may differ: what SLACK adds, of the smaller of the two
-    owing = told.groupBy("node").agg(F.count("*").alias("met")).join(sizes, "node").where(F.col("met") >= 1 + F.floor(F.floor(F.col("n") * SHARE[0] / SHARE[1]) / SLACK)).drop("met")
-    place = Window.partitionBy("meeting").orderBy("node")
-    placed = told.join(owing, "node").withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK).cast("int"))
-    blocks = placed.groupBy("meeting").agg((F.max("block") + 1).alias("blocks"))
-    dealt = placed.join(blocks, "meeting").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    owed = 1 + F.floor(F.floor(F.col("n") * SHARE[0] / SHARE[1]) / SLACK)
+    owing = placed.groupBy("node").agg(F.count("*").alias("met")).join(nodes.select("node", "n", "sketch"), "node").where(F.col("met") >= owed).drop("met")
+    dealt = placed.join(owing, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         block, node, label, n = (group.column(c).to_numpy() for c in ("block", "node", "label", "n"))
@@ -389,27 +396,26 @@ def _large(rows: DataFrame, labels: DataFrame, described: DataFrame, nearest: in
 
 
 def links(documents: DataFrame, described: DataFrame) -> DataFrame:
-    """(a, b) links between nodes that make the components of all similar pairs."""
+    """(node, label): the components of all similar pairs of nodes."""
+    nodes = materialize(described.where("node is not null").drop("doc_id").dropDuplicates(["node"]), "jaccard-nodes")
     met = materialize(meetings(documents), "jaccard-meetings")
-    tested = materialize(_possible(_centres(met), described), "jaccard-pairs")
-    found = materialize(_similar(tested, described, documents), "jaccard-links")
-    labels = components(found)
+    tested = materialize(_possible(_centres(met), nodes), "jaccard-pairs")
+    labels = components(_similar(tested, nodes, documents))
     apart = materialize(_apart(met, labels), "jaccard-apart")
     pairs = apart.where("meeting is null").select("a", "b").distinct()
-    small = _possible(pairs.join(tested, ["a", "b"], "left_anti"), described)
+    small = _possible(pairs.join(bounded(tested), ["a", "b"], "left_anti"), nodes)
     rows, nearest = apart.where("meeting is not null").select("meeting", F.col("a").alias("node")), NEAREST
     while True:
-        near = materialize(_large(rows, labels, described, nearest), "jaccard-near")
-        fresh = near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        new = materialize((fresh if small is None else fresh.union(small)).distinct(), "jaccard-pairs")
-        found = materialize(found.union(_similar(new, described, documents)), "jaccard-links")
-        labels = components(found)
-        more = near.where("more")
+        near = materialize(_large(rows, labels, nodes, nearest), "jaccard-near")
+        fresh = near.select("a", "b").distinct().join(bounded(tested), ["a", "b"], "left_anti")
+        new = materialize(fresh if small is None else fresh.union(small).distinct(), "jaccard-pairs")
+        labels = _joined(labels, materialize(_similar(new, nodes, documents), "jaccard-links"))
+        more, of = near.where("more"), bounded(labels)
         for end in ("a", "b"):
-            more = more.join(labels.toDF(end, f"label_{end}"), end, "left")
+            more = more.join(of.toDF(end, f"label_{end}"), end, "left")
         if more.where(~F.coalesce("label_a", "a").eqNullSafe(F.coalesce("label_b", "b"))).isEmpty():
             return labels
-        tested, small, nearest = tested.union(new), None, nearest * 64
+        tested, small, nearest = materialize(tested.union(new), "jaccard-tested"), None, nearest * 64
 
 
 def join(documents: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ LENGTH = 1024
 OPEN_WINDOWS = 64
 #: Partitions whose leftovers meet in one merge: at most 64 * 64 windows of 1,024 ids.
 MERGED_PARTS = 64
-ROWS = 2000
+ROWS = 1000
 _END = np.array([END_ID], "<u2")
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "ids"]
 

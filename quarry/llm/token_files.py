@@ -27,7 +27,7 @@ from quarry.llm.tokens import END_ID, encoder
 #: A block is closed once it holds so many ids.
 BLOCK_IDS = 1 << 16
 #: Texts encoded at a time.
-ROWS = 2000
+ROWS = 1000
 _END = np.array([END_ID], "<u2")
 
 
