@@ -36,9 +36,9 @@ ROWS = 500
 def sentences(text: str) -> list[str]:
     """The text in parts that join to it again."""
     ends = [m.end() for m in SENTENCE_END.finditer(text)]
-    if text and (not ends or ends[-1] < len(text)):
+    if not ends or ends[-1] < len(text):
         ends.append(len(text))
-    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True) if b > a]
 
 
 def spans(words: list[int], min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> tuple[np.ndarray, np.ndarray]:
