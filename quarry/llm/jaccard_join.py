@@ -9,8 +9,9 @@ the Hamming distance of their full sketches discards most, and what is left is c
 
 Nothing is capped. Equal sets are one node from the start. Of documents that meet often, the one with most shared keys
 becomes a centre to which the others are compared first; then only documents that are not yet in one component are
-compared, small meetings pair by pair, large ones in blocks of bounded size, nearest sketches first. A document with
-few keys from large meetings (a passage that many texts share) cannot owe a link to them and leaves them.
+compared, small meetings pair by pair, large ones in blocks of bounded size, nearest sketches first. Similar sets
+share many keys, so before all that each document leaves its largest meetings, as many as it shares for certain less
+one; a document with few shared keys (a passage that many texts have) leaves them all.
 
 Nulls and ties: a null or blank text has no shingles and is linked with nothing; fewer words than a shingle has make
 one shingle. A null doc_id takes part but names no component. Rows that repeat a doc_id or a text are linked by their
@@ -189,6 +190,19 @@ def meetings(documents: DataFrame) -> DataFrame:
     return _keyed(documents).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "meeting long, node long")
 
 
+def owed(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of met (written already) without those meetings that each node can spare, the largest ones.
+
+    A set shares more keys with any similar one than may differ: what SLACK adds, of the smaller of the two. So in
+    one order of all meetings, the first that two similar sets share is followed by that many others of either set.
+    """
+    large = materialize(met.groupBy("meeting").agg(F.count("*").alias("size")).where(F.col("size") > SMALL), "jaccard-large")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), "meeting"))
+    spare = F.floor(F.floor(F.col("n") * SHARE[0] / SHARE[1]) / SLACK)
+    ranked = met.join(bounded(large), "meeting", "left").join(nodes.select("node", "n"), "node").withColumn("place", place)
+    return ranked.where(F.col("place") > spare).select("meeting", "node")
+
+
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by columns, and where runs of equal rows begin in it."""
     order = np.lexsort(columns[::-1])
@@ -359,10 +373,8 @@ def _large(rows: DataFrame, labels: DataFrame, nodes: DataFrame, nearest: int) -
     open_yet = told.withColumns({"low": F.min("label").over(all_of), "high": F.max("label").over(all_of)}).where("low < high")
     placed = open_yet.select("meeting", "node", "label", F.floor((F.row_number().over(place) - 1) / BLOCK).cast("int").alias("block"), F.ceil(F.count("*").over(all_of) / BLOCK).cast("int").alias("blocks"))
     placed = materialize(placed, "jaccard-placed")
-    # a set shares more keys with any similar one than may differ: what SLACK adds, of the smaller of the two
-    owed = 1 + F.floor(F.floor(F.col("n") * SHARE[0] / SHARE[1]) / SLACK)
-    owing = placed.groupBy("node").agg(F.count("*").alias("met")).join(nodes.select("node", "n", "sketch"), "node").where(F.col("met") >= owed).drop("met")
-    dealt = placed.join(owing, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    own = nodes.select("node", "n", "sketch").join(placed.select("node").distinct(), "node", "left_semi")
+    dealt = placed.join(own, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         block, node, label, n = (group.column(c).to_numpy() for c in ("block", "node", "label", "n"))
@@ -398,7 +410,7 @@ def _large(rows: DataFrame, labels: DataFrame, nodes: DataFrame, nearest: int) -
 def links(documents: DataFrame, described: DataFrame) -> DataFrame:
     """(node, label): the components of all similar pairs of nodes."""
     nodes = materialize(described.where("node is not null").drop("doc_id").dropDuplicates(["node"]), "jaccard-nodes")
-    met = materialize(meetings(documents), "jaccard-meetings")
+    met = materialize(owed(materialize(meetings(documents), "jaccard-keys"), nodes), "jaccard-meetings")
     tested = materialize(_possible(_centres(met), nodes), "jaccard-pairs")
     labels = components(_similar(tested, nodes, documents))
     apart = materialize(_apart(met, labels), "jaccard-apart")
