@@ -92,8 +92,8 @@ def keys(members: np.ndarray) -> np.ndarray:
 
 
 def sketch(members: np.ndarray) -> bytes:
-    """Parity sketch of two to four bits for each member, by the members' low bits."""
-    bits = max(128, 1 << (2 * len(members) - 1).bit_length())
+    """Parity sketch of eight to sixteen bits for each member, by the members' low bits: few differences fall together."""
+    bits = max(512, 1 << (8 * len(members) - 1).bit_length())
     count = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(count & 1).tobytes()
 
