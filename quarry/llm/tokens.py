@@ -52,12 +52,17 @@ class PieceEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u2")
 
-    def _learn(self, piece: str) -> bytes:
-        if piece.lstrip(" ").isalpha():  # one pre-token
-            ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
-        else:
-            ids = self._whole.encode(piece, add_special_tokens=False).ids
-        return array("H", ids).tobytes()
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; all pieces are spelt in the vocabulary's letters at once, where 0 parts them."""
+        spelt = "\0".join(pieces).encode().decode("latin-1").translate(self._letters).split(self._letters[0])
+        tokenize, out = self._model.tokenize, []
+        for piece, letters in zip(pieces, spelt, strict=True):
+            if piece.lstrip(" ").isalpha():  # one pre-token
+                ids = [t.id for t in tokenize(letters)]
+            else:
+                ids = self._whole.encode(piece, add_special_tokens=False).ids
+            out.append(array("H", ids).tobytes())
+        return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = texts.fill_null("")
@@ -69,11 +74,11 @@ class PieceEncoder:
         pieces = split.flatten().dictionary_encode()
         words = pieces.dictionary.to_pylist()
         known = list(map(self._cache.get, words))
-        for k, ids in enumerate(known):
-            if ids is None:
-                known[k] = ids = self._learn(words[k])
-                if len(self._cache) < self._most:
-                    self._cache[words[k]] = ids
+        missing = [k for k, ids in enumerate(known) if ids is None]
+        for k, ids in zip(missing, self._learn([words[k] for k in missing]) if missing else (), strict=True):
+            known[k] = ids
+            if len(self._cache) < self._most:
+                self._cache[words[k]] = ids
         # the ids of all pieces, gathered from the distinct ones
         size = np.fromiter(map(len, known), np.int64, len(known)) >> 1
         start = np.cumsum(size) - size
