@@ -250,6 +250,23 @@ def test_differencing(spark):
     assert html_extract.extract(df).count() == len(PAGES) and html_extract.extract(df.where("false")).collect() == []
 
 
+def text_of(html, neighbour):
+    return html_extract.main_text(html_extract.Page(html).lines, html_extract.Page(neighbour).lines)
+
+
+def test_differencing_inside_main():
+    bars = "<div>Share this</div><div>We moved our offices to the harbour</div>"
+    first, second = ("<main>" + bars + f"<p>{t}</p></main><div>Foot</div>" for t in ("The story of the first page, told at some length", "What the second page has to say is different"))
+    assert text_of(first, second) == "The story of the first page, told at some length"
+    assert text_of(second, first) == "What the second page has to say is different"
+    story = "<main><p>1 May</p><p>The same long story on both of the pages</p></main>"
+    assert text_of(story, story.replace("1 May", "2 May")) == "1 May The same long story on both of the pages"
+    quote = "<article><p>Short quote</p><p>{} tells a longer story of its own</p></article>"
+    assert text_of(quote.format("One"), quote.format("Another")) == "Short quote One tells a longer story of its own"
+    within = "<main><div>Share this</div><article><p>Quote</p><p>{}</p></article></main>"
+    assert text_of(within.format("A text that is long"), within.format("Another, longer still")) == "Quote A text that is long"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_longest_common_subsequence(a, b):
