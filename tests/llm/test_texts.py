@@ -267,6 +267,33 @@ def test_differencing_inside_main():
     assert text_of(within.format("A text that is long"), within.format("Another, longer still")) == "Quote A text that is long"
 
 
+def test_names_drop_as_a_whole_and_never_the_article():
+    lines = lambda html: [t for t, _, dropped in html_extract.Page(html).lines if not dropped]
+    assert lines("<body class='has-sidebar'><article class='post ad-free'>story<div class='ad-free'>more</div><div class='x ad'>no</div></article></body>") == ["story", "more"]
+    assert lines("<html class='nav'><body id='search'><main role='menu' class='widget'>story</main><div class='site_nav'>no</div>") == ["story"]
+
+
+def test_near_copies_keep_their_text():
+    story = "<p>{}</p><p>The same long story on both of the pages</p><div>Foot</div>"
+    first, second, other = story.format("1 May"), story.format("2 May"), "<p>Something else that is told at length</p><div>Foot</div>"
+    assert text_of(first, second) == "1 May The same long story on both of the pages Foot"
+    lines = [html_extract.Page(h).lines for h in (first, second, other)]
+    assert html_extract.main_text(*lines) == "1 May The same long story on both of the pages"
+
+
+def test_ranges_change_no_text(spark):
+    rows = [(k if k % 7 else None, f"http://h{k % 3}.com/{k % 11}/{k}", f"<div>Top of h{k % 3}</div><p>Page {k} has a text of its own</p><div>Foot</div>") for k in range(60)]
+    rows += [(100, None, None), (None, None, None), (None, None, None), rows[5], rows[7], rows[7]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "2", "5", "50", "300"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(tuple, html_extract.extract(df).collect()), key=repr))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(g == got[0] for g in got) and len(got[0]) == len(rows)
+    assert sum(text == f"Page {url.rsplit('/', 1)[1]} has a text of its own" for _, url, text in got[0] if url) >= 58
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_longest_common_subsequence(a, b):
