@@ -13,9 +13,14 @@ from quarry.llm.common import fold, materialize, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents whose language can be told; those without a letter go, and those as far from every profile as can be.
+
+    Where no profile was learnt, all with a letter stay.
+    """
     training = F.col("lang").isNotNull() & F.coalesce(fold("doc_id", 5) != 0, F.lit(True))
-    return langid.identify(docs, training).where(F.col("lang_id.lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    profiles = langid.learn_profiles(docs.where(training))
+    told = F.col("lang_id.n_known" if profiles else "lang_id.n_grams") > 0
+    return langid.predict(docs, profiles).where(told).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

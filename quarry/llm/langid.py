@@ -5,6 +5,8 @@ all training documents. A document's own most frequent n-grams are compared by o
 stands from its place in the profile, the largest distance where the profile lacks it. The nearest profile wins.
 
 Nulls and ties: texts that are null or without letters get `und` and score 0; without any training document all do.
+A text none of whose n-grams is in a profile is as far from all languages; n_known, how many of the n_grams compared
+are in one, tells such texts (n_known 0) from those without letters (n_grams 0).
 Rows with a null language train nothing. N-grams of equal count rank by code, languages of equal distance by name.
 Texts are used whole. Repeated rows are predicted, and counted in training, once each. Columns other than doc_id,
 text and, for training, lang are not read.
@@ -95,7 +97,7 @@ def learn_profiles(labelled: DataFrame, size: int = PROFILE) -> dict[str, np.nda
 
 
 class Model:
-    """predict(text) -> (language, score): score is the runner-up's share of both distances, 0.5 to 1."""
+    """predict(text) -> (language, score, n_grams, n_known): score is the runner-up's share of both distances, 0.5 to 1."""
 
     def __init__(self, profiles: dict[str, np.ndarray], size: int = PROFILE, document: int = DOCUMENT):
         self._langs = sorted(profiles)
@@ -105,11 +107,10 @@ class Model:
         for k, lang in enumerate(self._langs):
             self._ranks[np.searchsorted(self._codes, profiles[lang]), k] = np.arange(len(profiles[lang]))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        grams = ngrams(text) if text and self._langs else np.zeros(0, np.uint64)
-        if not len(grams):
-            return UNDETERMINED, 0.0
-        codes, n = _counted(grams)
+    def predict(self, text: str | None) -> tuple[str, float, int, int]:
+        codes, n = _counted(ngrams(text or ""))
+        if not len(codes) or not self._langs:
+            return UNDETERMINED, 0.0, min(len(codes), self._document), 0
         if len(codes) > self._document:  # those that can be among the first, by count alone
             least = np.partition(n, len(n) - self._document)[len(n) - self._document]
             codes, n = codes[n >= least], n[n >= least]
@@ -118,23 +119,24 @@ class Model:
         at[at == len(self._codes)] = 0
         ranks = self._ranks[np.where(self._codes[at] == codes[order], at, len(self._codes))]
         place = np.arange(len(order))[:, None]
+        known = int((ranks >= 0).any(axis=1).sum())
         distance = np.where(ranks < 0, self._size, np.abs(ranks - place)).sum(axis=0)
         best = int(np.argmin(distance))
         if len(distance) == 1:
-            return self._langs[0], 1.0
+            return self._langs[0], 1.0, len(order), known
         first, second = np.partition(distance, 1)[:2].tolist()
-        return self._langs[best], second / (first + second) if second else 0.5
+        return self._langs[best], second / (first + second) if second else 0.5, len(order), known
 
 
 def predict(documents: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """All columns of documents and `lang_id`, a struct of lang_pred and score; a column lang_id is replaced."""
+    """All columns of documents and `lang_id`, a struct of lang_pred, score, n_grams and n_known; a column lang_id is replaced."""
     sent = documents.sparkSession.sparkContext.broadcast(profiles)  # size numbers for each language
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, n_grams long, n_known long")
     def tell(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Model(sent.value, size)
         for part in texts:
-            yield pd.DataFrame([model.predict(t) for t in part], columns=["lang_pred", "score"])
+            yield pd.DataFrame([model.predict(t) for t in part], columns=["lang_pred", "score", "n_grams", "n_known"])
 
     return documents.withColumn("lang_id", tell("text"))
 

@@ -191,6 +191,17 @@ def stages(spark, sf):
     return out
 
 
+def test_language_stage_goes_by_the_profiles(spark):
+    rows = [(k, "the cat and the dog", "en") for k in range(20)] + [(k, "le chat et le chien", "fr") for k in range(20, 40)]
+    rows += [(40, "Съешь ещё этих мягких булок", None), (41, "12 34 !!", "en"), (42, None, "fr"), (43, "the chat", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = lambda d: sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, d, "").collect())
+    assert kept(df) == [*range(40), 43]
+    assert kept(df.withColumn("lang", F.lit(None).cast("string"))) == [*range(41), 43]
+    alone = df.where((corpus_pipeline.fold("doc_id", 5) == 0) & (F.col("doc_id") < 41))
+    assert kept(alone) == sorted(r["doc_id"] for r in alone.collect()) != []
+
+
 def test_pipeline_stages(spark, sf, stages):
     texts = lambda df: {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
     (_, a, b), (_, _, c), (_, _, d), (_, _, e), (_, _, f) = stages
