@@ -430,18 +430,37 @@ def links(documents: DataFrame, described: DataFrame) -> DataFrame:
         tested, small, nearest = materialize(tested.union(new), "jaccard-tested"), None, nearest * 64
 
 
-def join(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: how many shingles, and the least doc_id reachable by links."""
+def _labelled(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n, label) of every row; the label, of a component, is null without shingles."""
     described = materialize(describe(documents), "jaccard-sets")
     labels = links(documents, described)
-    told = described.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
+    return described.select("doc_id", "text_hash", "n", "node").join(labels, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("label", "node").alias("label"))
+
+
+def join(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: how many shingles, and the least doc_id reachable by links."""
+    told = _labelled(documents).drop("text_hash")
     first = told.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("first"))
     both = told.join(first, "label", "left")
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents, all columns kept, without those whose component has a smaller doc_id."""
-    gone = join(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = bounded(materialize(gone, "jaccard-gone"))
-    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    """The documents, all columns kept, one of each component: the least by doc_id, null last, then by hash of the text.
+
+    Of rows with the survivor's id and text one stays. Rows without shingles are in no component and all stay.
+    """
+    same = _labelled(documents).where("label is not null").groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    same = materialize(same, "jaccard-rows")
+    first = same.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+    first = first.select("label", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    marked = same.join(first, "label").where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (~stays).alias("_gone"))
+    marked = materialize(marked, "jaccard-gone")
+    here = [documents["doc_id"].eqNullSafe(F.col("_id")), F.xxhash64(documents["text"]) == F.col("_hash")]
+    left = documents.join(bounded(marked), here, "left_anti")
+    often = marked.where("not _gone").drop("_gone")
+    if often.isEmpty():
+        return left
+    copies = documents.join(bounded(often), here, "left_semi").withColumn("_hash", F.xxhash64("text"))
+    return left.unionByName(copies.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))

@@ -50,6 +50,15 @@ def test_components_of_the_documents(spark, sf):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op3_jaccard_join"](spark, sf).collect()} == brute_components(docs)
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(3, a), (7, a + " end"), (7, b), (8, c), (8, c), (None, d), (None, d), (None, d + " end"), (None, e), (9, e), (None, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit(1))
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(df).collect()), key=repr)
+    wanted = [(3, a), (7, b), (8, c), (9, e), (None, None), (None, " ")]
+    assert [r for r in got if r not in wanted] in ([(None, d)], [(None, d + " end")]) and all(got.count(r) == 1 for r in wanted) and len(got) == 7
+
+
 def edited(rng, words, share):
     return [rng.choice("qrstuvwxyz") * 3 if rng.random() < share else w for w in words]
 
