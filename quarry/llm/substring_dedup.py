@@ -5,11 +5,13 @@ sentence that lies in a span which occurred before goes. Spans are as short as t
 onward, and from each back, until they hold MIN_SENTENCES sentences and MIN_WORDS words. So a repeated passage of
 twice MIN_WORDS words or more, cut at sentence ends, is covered whole. One sentence of twice MIN_WORDS is a span too.
 
-The first occurrence is the one with the smallest doc_id, then the earliest sentence; it stays. Spans are compared by
+The first occurrence is the one with the smallest doc_id, then the least hash of the text, then the earliest sentence;
+it stays. Spans are compared by
 a 64-bit hash of their words (A-Z lower-cased, split at ASCII white space).
 
 Nulls and ties: a null or empty text has no sentences and stays as it is. A null doc_id comes first. Rows that repeat
-a doc_id with the same text are one document: each keeps what that document keeps. Texts of any length are used
+a doc_id with the same text are one document: each keeps what that document keeps. A null is no id, so rows with a
+null doc_id are a document each, and of those with the same text one counts as the first. Texts of any length are used
 whole. All columns of the input are kept; names do not matter beyond doc_id and text. Empty tables stay empty.
 """
 
@@ -22,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
@@ -124,8 +126,10 @@ def repeated(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: in
     burden; only spans that occur in several documents are joined back to their places.
     """
     found = corpus_spans(documents, min_words, min_sentences)
-    first = found.groupBy("span").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("span", "first")
-    later = found.join(materialize(first, "repeated-spans"), "span", "left").where("again or doc > first")
+    key = F.struct("doc", "text_hash")
+    first = found.groupBy("span").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last")
+    first = first.select("span", F.col("first.doc").alias("first"), F.col("first.text_hash").alias("first_hash"))
+    later = found.join(materialize(first, "repeated-spans"), "span", "left").where("again or doc > first or doc = first and text_hash > first_hash")
     runs = later.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     return runs.select("doc", "text_hash", F.transform("runs", lambda r: r["at"]).alias("at"), F.transform("runs", lambda r: r["size"]).alias("size"))
 
@@ -133,18 +137,26 @@ def repeated(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: in
 def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
     """All rows and columns, the text without repeated sentences, and `repeats`: a struct of n_sentences and n_removed."""
     cuts = repeated(documents, min_words, min_sentences).withColumnsRenamed({"doc": "_cut_doc", "text_hash": "_cut_hash", "at": "_cut_at", "size": "_cut_size"})
-    both = documents.join(cuts, (_doc(documents["doc_id"]) == cuts["_cut_doc"]) & (F.xxhash64(documents["text"]) == cuts["_cut_hash"]), "left")
+    unnamed = documents.where("doc_id is null")
+    marked = documents.withColumn("_copy", F.lit(False))
+    if not unnamed.isEmpty():
+        rank = F.row_number().over(Window.partitionBy(F.xxhash64("text")).orderBy(F.xxhash64("text")))
+        marked = marked.where("doc_id is not null").unionByName(unnamed.withColumn("_copy", F.col("text").isNotNull() & (rank > 1)))
+    both = marked.join(cuts, (_doc(marked["doc_id"]) == cuts["_cut_doc"]) & (F.xxhash64(marked["text"]) == cuts["_cut_hash"]), "left")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
-    def cut(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, starts: pd.Series, sizes: pd.Series, copies: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, at, size in zip(texts, starts, sizes, strict=True):
+        for text, at, size, copy in zip(texts, starts, sizes, copies, strict=True):
             parts = sentences(text or "")
+            if copy:  # all its spans occurred before
+                _, first, end = span_hashes(parts, min_words, min_sentences)
+                at, size = first, end - first
             gone = np.zeros(len(parts), bool)
             for a, n in zip(at, size, strict=True) if at is not None else ():
                 gone[a : a + n] = True
             rows.append(("".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else text, len(parts), int(gone.sum())))
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
-    done = both.withColumn("_cut", cut("text", "_cut_at", "_cut_size"))
-    return done.select(*[F.col("_cut.text").alias("text") if c == "text" else documents[c] for c in documents.columns], F.struct("_cut.n_sentences", "_cut.n_removed").alias("repeats"))
+    done = both.withColumn("_cut", cut("text", "_cut_at", "_cut_size", "_copy"))
+    return done.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns], F.struct("_cut.n_sentences", "_cut.n_removed").alias("repeats"))

@@ -189,6 +189,23 @@ def test_spans_of_odd_rows(spark):
     assert substring_dedup.deduplicate(df.where("false")).collect() == []
 
 
+def test_spans_of_null_and_repeated_ids(spark):
+    passage = lambda x: " ".join(" ".join(f"{x}{i}{j}" for j in range(15)) + "." for i in range(4)) + "\n"
+    shared, twin, named, both = (passage(x) for x in "pqrs")
+    rows = [(None, shared + "One."), (None, shared + "Two."), (None, shared + "Three."), (5, twin + "One."), (5, twin + "Two.")]
+    rows += [(None, named), (None, named), (None, named), (None, None), (None, None), (9, both), (None, both), (None, "Short."), (None, "Short.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit(1))
+    got = substring_dedup.deduplicate(df)
+    assert got.columns == ["doc_id", "text", "k", "repeats"]
+    texts = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(texts) == len(rows)
+    for p, ids in ((shared, {None}), (twin, {5}), (named, {None}), (both, {None})):
+        assert [d for d, t in texts if p.strip() in (t or "")] == list(ids)
+    ends = sorted(t.removeprefix(shared) for d, t in texts if d is None and t and t.endswith(("One.", "Two.", "Three.")))
+    assert ends == ["One.", "Three.", "Two."]
+    assert texts.count((None, "")) == 2 and texts.count((9, "")) == 1 and texts.count((None, None)) == 2 and texts.count((None, "Short.")) == 2
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf):
     docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
