@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in tests on one machine, is a temporary folder taken.
+    Only where that setting is missing and all runs on one machine, as in tests, is a temporary folder taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -35,6 +42,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Deletes the files of tables that materialize() wrote, once all that reads them has been written itself."""
+    for df in written:
+        files = df.inputFiles()
+        if files:
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Tables of a few numbers a row are broadcast up to this many rows (some 50 MB), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -44,6 +60,21 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows and bytes of text that a task works on at a time; one longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded numbers of rows and bytes of a string or binary column."""
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy()
+    at, ends = 0, np.cumsum(lengths, dtype=np.int64)
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

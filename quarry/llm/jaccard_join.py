@@ -4,14 +4,19 @@ A parity sketch of a set has one bit for each bucket of a hash: the parity of ho
 sketches differ in no more bits than the sets' symmetric difference has members, and sets of similarity 0.75 differ in
 at most (|A| + |B|) / 7 members. So for each band of sizes the hash range is cut into parts, more than the members
 that may differ; by the pigeonhole principle similar sets have parts that agree, and the XOR of the hashes of a part's
-members, with the part's number, is a key that both documents send. Documents that meet under a key are candidates;
-the Hamming distance of their full sketches discards most, and what is left is compared member by member.
+members, with the part's number, is a key that both documents send. Each sends its least keys, a tenth of its size
+more than may differ, so similar sets meet under many keys. Documents that meet often enough are candidates; the
+Hamming distance of their sketches discards those that are too far apart, and what is left is compared by members.
 
 Nothing is capped. Equal sets are one node from the start. Of documents that meet often, the one with most shared keys
 becomes a centre to which the others are compared first; then only documents that are not yet in one component are
-compared, small meetings pair by pair, large ones in blocks of bounded size, nearest sketches first. Similar sets
-share many keys, so before all that each document leaves its largest meetings, as many as it shares for certain less
-one; a document with few shared keys (a passage that many texts have) leaves them all.
+compared. Each document leaves some of its largest meetings, half as many as it shares for certain with any similar
+one. Of the small meetings that remain, pairs are counted, and those that meet less often than similar sets must are
+dropped before anything else is fetched; large ones are compared in blocks of bounded size, nearest sketches first.
+
+The bound counts on a set having at least as many parts with members as it is to send. Part sizes are chosen so that
+this holds but for a chance of some tenths of a per cent, and a set that falls short counts on as many meetings less;
+a link can be missed only if in addition a pair stands at the very threshold with each difference in another part.
 
 Nulls and ties: a null or blank text has no shingles and is linked with nothing; fewer words than a shingle has make
 one shingle. A null doc_id takes part but names no component. Rows that repeat a doc_id or a text are linked by their
@@ -30,18 +35,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, bounded, materialize
+from quarry.llm.common import bounded, discard, materialize, slices
 
 SHINGLE = 5
 #: Similarity of at least 75 / 100. The bound on differing members, (|A| + |B|) / 7, follows from it.
 SHARE = (75, 100)
 #: Mean members of a part at a band's upper end, and how many more keys than may differ are sent (a share of the set).
-MEMBERS, SLACK = 2.0, 10
+MEMBERS, SLACK = 1.8, 10
 #: Meetings of up to so many documents are paired at once; larger ones are compared in blocks.
 SMALL, BLOCK = 64, 2048
 #: Of the sketches of a large meeting that are near enough, so many for each document and component are compared at first.
 NEAREST = 4
-ROWS = 500
+#: A text is sent once for so many texts that it is compared with.
+PARTNERS = 256
+#: Bytes of text whose shingles are taken at a time, and texts that a task remembers to have seen.
+SLICE, SEEN = 1 << 20, 250_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,20 +83,35 @@ def _parts(level: int) -> int:
     return 512 if level == 0 else int(4 ** (level + 3) / MEMBERS)
 
 
-def keys(members: np.ndarray) -> np.ndarray:
-    """Keys under which a set meets all that are similar to it."""
+def keys(members: np.ndarray) -> tuple[np.ndarray, int]:
+    """Keys under which a set meets all that are similar to it, and how many more there are of each band than may differ."""
     n = len(members)
     if n < 3:  # only an equal set is similar
-        return np.zeros(0, np.uint64)
-    level, out = _level(n), []
+        return np.zeros(0, np.uint64), 0
+    level, out, spare = _level(n), [], n // SLACK
     mixed = _mix(members ^ np.uint64(0xD6E8FEB86659FD93))
     for at in range(level, _level(n * SHARE[1] // SHARE[0]) + 1):
         part = (members >> np.uint64(32)) * np.uint64(_parts(at)) >> np.uint64(32)
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         found = _mix(np.bitwise_xor.reduceat(mixed, first) ^ _mix(part[first] + np.uint64(at << 48)))
         most = n // 3 + 1 + n // SLACK
+        spare = max(0, min(spare, len(found) - n // 3 - 1))
         out.append(found if len(found) <= most else np.partition(found, most)[:most])
-    return np.concatenate(out)
+    return np.concatenate(out), spare
+
+
+def _spared(n: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """How many of its largest meetings a set of that size leaves: half of what the smallest similar set counts on."""
+    return np.minimum(spare, n * SHARE[0] // SHARE[1] // SLACK) // 2
+
+
+def _needed(n_a: np.ndarray, spare_a: np.ndarray, n_b: np.ndarray, spare_b: np.ndarray) -> np.ndarray:
+    """How many of the meetings that are left two sets share at least if they are similar."""
+    return np.maximum(1, 1 + np.minimum(spare_a, spare_b) - np.maximum(_spared(n_a, spare_a), _spared(n_b, spare_b)))
+
+
+def _sizes_fit(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    return np.minimum(n_a, n_b) * SHARE[1] >= np.maximum(n_a, n_b) * SHARE[0]
 
 
 def sketch(members: np.ndarray) -> bytes:
@@ -106,101 +129,89 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _near(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Whether sizes and sketches allow each pair to be similar."""
-    small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    fit = small * SHARE[1] >= large * SHARE[0]
-    for k in np.flatnonzero(fit):
-        x, y = np.frombuffer(a[k], np.uint8), np.frombuffer(b[k], np.uint8)
-        size = min(len(x), len(y))
-        fit[k] = np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum() <= (n_a[k] + n_b[k]) // 7
-    return fit
-
-
 def _node(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
 
 
 def describe(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, n, sketch): node is a hash of the set, null for an empty one."""
+    """(doc_id, text_hash, node, n): node is a hash of the set, null for an empty one; n its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                cut = batch.slice(at, ROWS)
+            for cut in slices(batch, size=SLICE):
                 sets = [shingles(t) for t in cut.column("text").to_pylist()]
-                nodes, bits = [_node(s) if len(s) else None for s in sets], [sketch(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [cut.column("doc_id"), cut.column("text_hash"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "node", "n", "sketch"]
-                )
+                nodes = [_node(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("text_hash"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "text_hash", "node", "n"])
 
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n long, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n long")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """(key, node): each set of a task once, so copies of one text do not crowd a key."""
+    """(key, node, n, spare): each set of a task once, so copies of one text do not crowd a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                found, nodes = [], []
-                for text in batch.column("text").slice(at, ROWS).to_pylist():
+            for cut in slices(batch, size=SLICE):
+                found, rows = [], []
+                for text in cut.column("text").to_pylist():
                     members = shingles(text)
                     node = _node(members)
                     if len(members) > 2 and node not in seen:
-                        if len(seen) < BROADCAST_ROWS:
+                        if len(seen) < SEEN:
                             seen.add(node)
-                        found.append(keys(members))
-                        nodes.append(node)
+                        own, spare = keys(members)
+                        found.append(own)
+                        rows.append((node, len(members), spare))
                 if found:
-                    rows = np.repeat(np.array(nodes, np.int64), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(rows)], ["key", "node"])
+                    node, n, spare = (np.repeat(np.array(c, np.int64), [len(f) for f in found]) for c in zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(spare.astype(np.int32))], ["key", "node", "n", "spare"])
 
-    return documents.select("text").mapInArrow(run, "key long, node long")
+    return documents.select("text").mapInArrow(run, "key long, node long, n int, spare int")
 
 
 def meetings(documents: DataFrame) -> DataFrame:
-    """(meeting, node): the nodes under each key that several have; keys are replaced by numbers in runs."""
+    """(meeting, node, n, spare): the nodes under each key that several have; keys are replaced by numbers in runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last row of a batch waits for the next row, which tells whether it is alone
         number, waits, met = TaskContext.get().partitionId() << 40, None, False
 
-        def rows(numbers: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(nodes)], ["meeting", "node"])
+        def rows(numbers: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(numbers), *map(pa.array, columns)], ["meeting", "node", "n", "spare"])
 
         for batch in batches:
-            key, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if waits:
-                key, node = np.r_[waits[0], key], np.r_[waits[1], node]
+                columns = [np.append(w, c).astype(c.dtype) for w, c in zip(waits, columns, strict=True)]
+            key, node = columns[:2]
             if not len(key):
                 continue
             fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-            key, node = key[fresh], node[fresh]
+            key, *rest = (c[fresh] for c in columns)
             same = key[1:] == key[:-1]
             before, numbers = np.r_[met, same], number + np.r_[0, np.cumsum(~same)]
             kept = np.flatnonzero(before[:-1] | same)
-            yield rows(numbers[kept], node[kept])
-            waits, met, number = (key[-1], node[-1]), bool(before[-1]), int(numbers[-1])
+            yield rows(numbers[kept], *(c[kept] for c in rest))
+            waits, met, number = [c[-1] for c in (key, *rest)], bool(before[-1]), int(numbers[-1])
         if met:
-            yield rows(np.array([number]), np.array([waits[1]]))
+            yield rows(np.array([number]), *(np.array([w]) for w in waits[1:]))
 
-    return _keyed(documents).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "meeting long, node long")
+    return _keyed(documents).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "meeting long, node long, n int, spare int")
 
 
-def owed(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of met (written already) without those meetings that each node can spare, the largest ones.
+def owed(met: DataFrame) -> DataFrame:
+    """The rows of met (written already) without those large meetings that each node can spare, the largest first.
 
-    A set shares more keys with any similar one than may differ: what SLACK adds, of the smaller of the two. So in
-    one order of all meetings, the first that two similar sets share is followed by that many others of either set.
+    In one order of all meetings, those that two similar sets share and either leaves are the first of the shared ones,
+    and no more than the greater of what the two spare.
     """
     large = materialize(met.groupBy("meeting").agg(F.count("*").alias("size")).where(F.col("size") > SMALL), "jaccard-large")
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), "meeting"))
-    spare = F.floor(F.floor(F.col("n") * SHARE[0] / SHARE[1]) / SLACK)
-    ranked = met.join(bounded(large), "meeting", "left").join(nodes.select("node", "n"), "node").withColumn("place", place)
-    return ranked.where(F.col("place") > spare).select("meeting", "node")
+    spared = F.floor(F.least(F.col("spare"), F.floor(F.floor(F.col("n") * SHARE[0] / SHARE[1]) / SLACK)) / 2)
+    crowded = met.join(bounded(large), "meeting").withColumn("place", place).where(F.col("place") > spared)
+    return met.join(bounded(large), "meeting", "left_anti").unionByName(crowded.select(*met.columns))
 
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,71 +225,93 @@ def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _centres(met: DataFrame) -> DataFrame:
-    """(a, b): each node with the centre it meets most often; a meeting's centre is its node with most meetings."""
+    """(a, b): each node with the centre it meets most often, if often enough; a meeting's centre is its node with most meetings."""
     often = materialize(met.groupBy("node").agg(F.count("*").alias("often")), "jaccard-often")
-    ordered = met.join(bounded(often), "node").repartition("meeting").sortWithinPartitions("meeting", F.desc("often"), "node").select("meeting", "node")
+    ordered = met.join(bounded(often), "node").repartition("meeting").sortWithinPartitions("meeting", F.desc("often"), "node").select("meeting", "node", "n", "spare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = centre = -1
+        last, centre = -1, [-1, 0, 0]
         for batch in batches:
-            meeting, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            meeting, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(meeting):
                 continue
             fresh = np.r_[meeting[0] != last, meeting[1:] != meeting[:-1]]
-            at = np.maximum.accumulate(np.where(fresh, np.arange(len(node)), -1))
-            own = np.where(at >= 0, node[at], centre)
-            last, centre = int(meeting[-1]), int(own[-1])
-            a, b = node[~fresh], own[~fresh]
+            at = np.maximum.accumulate(np.where(fresh, np.arange(len(meeting)), -1))
+            own = [np.where(at >= 0, c[at], k) for c, k in zip(columns, centre, strict=True)]
+            last, centre = int(meeting[-1]), [int(c[-1]) for c in own]
+            node, n, spare = (c[~fresh].astype(np.int64) for c in columns)
+            own, own_n, own_spare = (c[~fresh].astype(np.int64) for c in own)
+            fit = _sizes_fit(n, own_n)
+            a, b, need = node[fit], own[fit], _needed(n, spare, own_n, own_spare)[fit]
             order, first = _runs(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(a[order][first]), pa.array(b[order][first]), pa.array(np.diff(np.r_[first, len(a)]))], ["a", "b", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[order][first]), pa.array(b[order][first]), pa.array(need[order][first]), pa.array(np.diff(np.r_[first, len(a)]))], ["a", "b", "need", "times"])
 
-    pairs = ordered.mapInArrow(run, "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"))
-    return pairs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = ordered.mapInArrow(run, "a long, b long, need long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
+    best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "need", "times"), F.struct("times", "b")).alias("best"))
+    # a node may meet another one elsewhere too, so half of what is needed is enough here
+    return best.where(F.col("best.times") * 2 >= F.col("best.need")).select("a", F.col("best.b").alias("b"))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts(nodes: DataFrame, wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes (node), in as many copies as documents has."""
+    own = materialize(nodes.select("node", F.col("text_hash").alias("_hash")).join(bounded(wanted), "node", "left_semi"), "jaccard-hashes")
+    return documents.where("text is not null").select("text").join(bounded(own), F.xxhash64("text") == F.col("_hash")).select("node", "text")
 
 
-def _both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs with the columns of rows for either node, their names followed by _a and _b."""
-    for end in ("a", "b"):
-        pairs = pairs.join(rows.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in rows.columns if c != "node"]), end)
-    return pairs
-
+def _similar(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (written already) whose sets are similar: by sketches, then by their members.
 
-def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that sizes and sketches allow."""
+    Of either end the text with fewer partners is sent to the other; that one goes once to every PARTNERS pairs.
+    """
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    degree = materialize(ends.groupBy("node").agg(F.count("*").alias("degree")), "jaccard-degrees")
+    rows = materialize(_texts(nodes, degree.select("node"), documents).dropDuplicates(["node"]), "jaccard-texts")
+    of = bounded(degree)
+    told = pairs.join(of.toDF("a", "d_a"), "a").join(of.toDF("b", "d_b"), "b")
+    swap = F.col("d_a") > F.col("d_b")
+    told = told.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.ceil(F.greatest("d_a", "d_b") / PARTNERS).alias("chunks"))
+    probes = told.join(rows.select(F.col("node").alias("a"), "text"), "a").select("b", F.pmod(F.xxhash64("a"), "chunks").cast("int").alias("chunk"), "a", "text")
+    heads = told.select("b", "chunks").distinct().join(rows.select(F.col("node").alias("b"), "text"), "b")
+    heads = heads.select("b", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"), F.lit(None).cast("long").alias("a"), "text")
+    dealt = heads.unionByName(probes).repartition("b", "chunk").sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = bits = shingles(None)
         for batch in batches:
-            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            fit = _near(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), n_a, n_b)
-            yield batch.select(["a", "b"]).filter(pa.array(fit))
+            fit = []
+            for a, text in zip(batch.column("a").to_pylist(), batch.column("text"), strict=True):
+                own = shingles(text.as_py())
+                mine = np.frombuffer(sketch(own), np.uint8)
+                if a is None:
+                    kept, bits = own, mine
+                size, near = min(len(mine), len(bits)), False
+                if a is not None and np.bitwise_count(_fold(mine, size) ^ _fold(bits, size)).sum() <= (len(own) + len(kept)) // 7:
+                    common = len(np.intersect1d(own, kept, assume_unique=True))
+                    near = SHARE[1] * common >= SHARE[0] * (len(own) + len(kept) - common)
+                fit.append(near)
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    both = _both(pairs, nodes.select("node", "n", "sketch"))
-    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return dealt.select("b", "a", "text").mapInArrow(run, "a long, b long")
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (written already) whose sets are similar, by their members."""
-    own = materialize(nodes.select("node", F.col("text_hash").alias("own")).join(_ends(pairs), "node", "left_semi"), "jaccard-hashes")
-    texts = documents.where("text is not null").select("text").withColumn("text_hash", F.xxhash64("text"))
-    rows = materialize(texts.join(bounded(own), F.col("text_hash") == F.col("own")).select("node", "text").dropDuplicates(["node"]), "jaccard-texts")
+def _sketches(nodes: DataFrame, wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, n, sketch) of the wanted nodes (node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, shingles(None)
+        seen: set[int] = set()
         for batch in batches:
-            fit = []
-            for b, text_a, text_b in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                if b != last:
-                    last, kept = b, shingles(text_b.as_py())
-                own = shingles(text_a.as_py())
-                common = len(np.intersect1d(own, kept, assume_unique=True))
-                fit.append(SHARE[1] * common >= SHARE[0] * (len(own) + len(kept) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+            for cut in slices(batch, size=SLICE):
+                rows = []
+                for node, text in zip(cut.column("node").to_pylist(), cut.column("text").to_pylist(), strict=True):
+                    if node not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(node)
+                        members = shingles(text)
+                        rows.append((node, len(members), sketch(members)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "n", "sketch"])
 
-    return _both(pairs, rows).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return _texts(nodes, wanted, documents).mapInArrow(run, "node long, n long, sketch binary").dropDuplicates(["node"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -289,7 +322,7 @@ def components(links: DataFrame) -> DataFrame:
     graph shrinks by a constant factor, and stars vanish at once.
     """
     labels, turn = None, 0
-    links = materialize(links.where("a <> b").distinct(), "links")
+    links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     while labels is None or not links.isEmpty():
         ends = links.union(links.select("b", "a")).toDF("u", "v")
         degree = materialize(ends.groupBy("u").agg(F.count("*").alias("d")), "degrees")
@@ -321,33 +354,32 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _apart(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of small meetings the pairs (a, b) in different components; of large ones the rows (a, meeting)."""
-    told = met.join(bounded(labels), "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
+    """Of small meetings the pairs (a, b, need, times) in different components; of large ones the rows (a, meeting)."""
+    told = met.join(bounded(labels), "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"), F.col("n").cast("long"), F.col("spare").cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        kept, large = (none, none, none), None  # rows of a meeting that may go on; the large meeting that goes on
+        kept, large = (none,) * 5, None  # rows of a meeting that may go on; the large meeting that goes on
 
-        def rows(meeting: np.ndarray, node: np.ndarray, label: np.ndarray, big: np.ndarray) -> pa.RecordBatch:
-            m, x, y = meeting[~big], node[~big], label[~big]
-            a, b = [none], [none]
+        def rows(columns: list[np.ndarray], big: np.ndarray) -> pa.RecordBatch:
+            m, x, y, n, spare = (c[~big] for c in columns)
+            found = [(none, none, none)]
             for step in range(1, len(m)):
                 same = m[step:] == m[:-step]
                 if not same.any():
                     break
-                at = np.flatnonzero(same & (y[step:] != y[:-step]))
-                a.append(np.minimum(x[at], x[at + step]))
-                b.append(np.maximum(x[at], x[at + step]))
-            low, high = np.concatenate(a), np.concatenate(b)
+                at = np.flatnonzero(same & (y[step:] != y[:-step]) & _sizes_fit(n[step:], n[:-step]))
+                found.append((np.minimum(x[at], x[at + step]), np.maximum(x[at], x[at + step]), _needed(n[at], spare[at], n[at + step], spare[at + step])))
+            low, high, need = (np.concatenate(c) for c in zip(*found, strict=True))
             order, first = _runs(low, high)
-            low, high = low[order][first], high[order][first]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[low, node[big]]), pa.array(np.r_[high, node[big]]), pa.array(np.r_[low, meeting[big]], mask=np.r_[np.ones(len(low), bool), np.zeros(int(big.sum()), bool)])],
-                ["a", "b", "meeting"],
-            )
+            low, high, need, times = low[order][first], high[order][first], need[order][first], np.diff(np.r_[first, len(order)])
+            meeting, node, empty = columns[0][big], columns[1][big], np.zeros(int(big.sum()), np.int64)
+            missing = np.r_[np.ones(len(low), bool), empty.astype(bool)]
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[low, node]), pa.array(np.r_[high, node]), pa.array(np.r_[need, empty]), pa.array(np.r_[times, empty]), pa.array(np.r_[low, meeting], mask=missing)], ["a", "b", "need", "times", "meeting"])
 
         for batch in batches:
-            meeting, node, label = (np.r_[k, c.to_numpy(zero_copy_only=False)] for k, c in zip(kept, batch.columns, strict=True))
+            columns = [np.r_[k, c.to_numpy(zero_copy_only=False)] for k, c in zip(kept, batch.columns, strict=True)]
+            meeting = columns[0]
             if not len(meeting):
                 continue
             first = np.flatnonzero(np.r_[True, meeting[1:] != meeting[:-1]])
@@ -355,26 +387,32 @@ def _apart(met: DataFrame, labels: DataFrame) -> DataFrame:
             big = np.repeat((size > SMALL) | (meeting[first] == large), size)
             end = len(meeting) if big[-1] else int(first[-1])
             large = int(meeting[-1]) if big[-1] else None
-            kept = meeting[end:], node[end:], label[end:]
-            yield rows(meeting[:end], node[:end], label[:end], big[:end])
+            kept = [c[end:] for c in columns]
+            yield rows([c[:end] for c in columns], big[:end])
         if len(kept[0]):
-            yield rows(*kept, np.zeros(len(kept[0]), bool))
+            yield rows(list(kept), np.zeros(len(kept[0]), bool))
 
-    return told.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(run, "a long, b long, meeting long")
+    return told.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(run, "a long, b long, need long, times long, meeting long")
 
 
-def _large(rows: DataFrame, labels: DataFrame, nodes: DataFrame, nearest: int) -> DataFrame:
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(meeting, node, label, block, blocks): the rows of meetings of several components, dealt to blocks of BLOCK on average.
+
+    Sizes and components of a meeting are summed before the shuffle, and blocks are drawn by a hash of the node.
+    """
+    told = rows.join(bounded(labels), "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
+    spread = told.groupBy("meeting").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    return told.join(bounded(materialize(spread, "jaccard-spread")), "meeting").select("meeting", "node", "label", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+
+
+def _large(rows: DataFrame, labels: DataFrame, sketches: DataFrame, nearest: int) -> DataFrame:
     """(a, b, more): of large meetings (meeting, node), for each two components the nearest pairs that sketches allow.
 
     more: whether the two components have further such pairs in that meeting.
     """
-    told = rows.join(bounded(labels), "node", "left").select("meeting", "node", F.coalesce("label", "node").alias("label"))
-    all_of, place = Window.partitionBy("meeting"), Window.partitionBy("meeting").orderBy("node")
-    open_yet = told.withColumns({"low": F.min("label").over(all_of), "high": F.max("label").over(all_of)}).where("low < high")
-    placed = open_yet.select("meeting", "node", "label", F.floor((F.row_number().over(place) - 1) / BLOCK).cast("int").alias("block"), F.ceil(F.count("*").over(all_of) / BLOCK).cast("int").alias("blocks"))
-    placed = materialize(placed, "jaccard-placed")
-    own = nodes.select("node", "n", "sketch").join(placed.select("node").distinct(), "node", "left_semi")
-    dealt = placed.join(own, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    placed = _open(rows, labels)
+    dealt = placed.join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         block, node, label, n = (group.column(c).to_numpy() for c in ("block", "node", "label", "n"))
@@ -409,16 +447,21 @@ def _large(rows: DataFrame, labels: DataFrame, nodes: DataFrame, nearest: int) -
 
 def links(documents: DataFrame, described: DataFrame) -> DataFrame:
     """(node, label): the components of all similar pairs of nodes."""
-    nodes = materialize(described.where("node is not null").drop("doc_id").dropDuplicates(["node"]), "jaccard-nodes")
-    met = materialize(owed(materialize(meetings(documents), "jaccard-keys"), nodes), "jaccard-meetings")
-    tested = materialize(_possible(_centres(met), nodes), "jaccard-pairs")
-    labels = components(_similar(tested, nodes, documents))
+    nodes = materialize(described.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash")), "jaccard-nodes")
+    every = materialize(meetings(documents), "jaccard-keys")
+    met = materialize(owed(every), "jaccard-meetings")
+    discard(every)
+    tested = materialize(_centres(met), "jaccard-pairs")
+    labels = components(materialize(_similar(tested, nodes, documents), "jaccard-links"))
     apart = materialize(_apart(met, labels), "jaccard-apart")
-    pairs = apart.where("meeting is null").select("a", "b").distinct()
-    small = _possible(pairs.join(bounded(tested), ["a", "b"], "left_anti"), nodes)
+    discard(met)
+    pairs = apart.where("meeting is null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need")
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    small = pairs.select("a", "b").join(bounded(tested), ["a", "b"], "left_anti")
     rows, nearest = apart.where("meeting is not null").select("meeting", F.col("a").alias("node")), NEAREST
+    sketches = materialize(_sketches(nodes, materialize(_open(rows, labels).select("node").distinct(), "jaccard-open"), documents), "jaccard-sketches")
     while True:
-        near = materialize(_large(rows, labels, nodes, nearest), "jaccard-near")
+        near = materialize(_large(rows, labels, sketches, nearest), "jaccard-near")
         fresh = near.select("a", "b").distinct().join(bounded(tested), ["a", "b"], "left_anti")
         new = materialize(fresh if small is None else fresh.union(small).distinct(), "jaccard-pairs")
         labels = _joined(labels, materialize(_similar(new, nodes, documents), "jaccard-links"))
@@ -426,6 +469,7 @@ def links(documents: DataFrame, described: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             more = more.join(of.toDF(end, f"label_{end}"), end, "left")
         if more.where(~F.coalesce("label_a", "a").eqNullSafe(F.coalesce("label_b", "b"))).isEmpty():
+            discard(nodes, apart, sketches, near)
             return labels
         tested, small, nearest = materialize(tested.union(new), "jaccard-tested"), None, nearest * 64
 

@@ -85,7 +85,8 @@ def test_blocks_of_a_large_meeting(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     monkeypatch.setattr(jaccard_join, "NEAREST", 1)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "SEEN", 0)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 2)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(100)]
     docs = {k: " ".join(edited(rng, base, rng.choice([0, 0.03, 0.05, 0.07]))) for k in range(40)}
@@ -115,8 +116,9 @@ def test_similar_sets_always_share_keys():
             common = len(np.intersect1d(a, b))
             if 100 * common < 75 * (len(a) + len(b) - common):
                 continue
-            shared = set(jaccard_join.keys(a).tolist()) & set(jaccard_join.keys(b).tolist())
-            owed = 1 + (min(len(a), len(b)) * 3 // 4) // jaccard_join.SLACK
+            (own, spare), (other, other_spare) = jaccard_join.keys(a), jaccard_join.keys(b)
+            shared = set(own.tolist()) & set(other.tolist())
+            owed = 1 + min(spare, other_spare)
             assert len(shared) >= min(owed, 1 if n < 16 else owed) or (a.tolist() == b.tolist())
             differ = len(a) + len(b) - 2 * common
             x, y = (np.frombuffer(jaccard_join.sketch(s), np.uint8) for s in (a, b))
