@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import slices
+
 UNDETERMINED = "und"
 #: N-grams in a language's profile and in a document's.
 PROFILE, DOCUMENT = 400, 300
 #: Distinct n-grams that a task counts before it hands its counts on.
-HELD = 1_000_000
-ROWS = 500
+HELD = 200_000
+#: Bytes of text whose n-grams are counted at a time: some 100 MB of codes and copies.
+SLICE = 1 << 20
 
 _letters: list[np.ndarray] = []
 
@@ -73,8 +76,7 @@ def learn_profiles(labelled: DataFrame, size: int = PROFILE) -> dict[str, np.nda
             held.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                cut = batch.slice(at, ROWS)
+            for cut in slices(batch, size=SLICE):
                 by: dict[str, list[np.ndarray]] = {}
                 for text, lang in zip(cut.column("text").to_pylist(), cut.column("lang").to_pylist(), strict=True):
                     by.setdefault(lang, []).append(ngrams(text))

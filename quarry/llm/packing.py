@@ -22,14 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, slices
 from quarry.llm.tokens import END_ID, encoder
 
 LENGTH = 1024
 OPEN_WINDOWS = 64
 #: Partitions whose leftovers meet in one merge: at most 64 * 64 windows of 1,024 ids.
 MERGED_PARTS = 64
-ROWS = 1000
 _END = np.array([END_ID], "<u2")
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "ids"]
 
@@ -121,8 +120,7 @@ def pack(documents: DataFrame, length: int = LENGTH, windows: int = OPEN_WINDOWS
 
         for batch in batches:
             id_type = batch.column("doc_id").type
-            for at in range(0, batch.num_rows, ROWS):
-                cut = batch.slice(at, ROWS)
+            for cut in slices(batch):
                 rows = []
                 for doc, ids in zip(cut.column("doc_id").to_pylist(), encode(cut.column("text")), strict=True):
                     rows += [row(part, x) for x in packer.add(doc, np.append(ids, _END))]

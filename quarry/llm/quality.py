@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import materialize, slices
+
 #: Random features, ridge penalty (as a share of the rows) and kernel width (in standard deviations, for each statistic).
 FEATURES, RIDGE, WIDTH, SEED = 256, 1e-4, 1.5, 7
 #: Labelled rows that are fitted on, at most: of more, an even part by a hash of the id.
@@ -29,7 +31,8 @@ FIT_PARTS = 16
 #: Of four calibration rows, regression rows are three: the rows with this remainder calibrate.
 CALIBRATION_FOLDS = 4
 BINS = 1000
-ROWS = 500
+#: Bytes of text worked on at a time.
+SLICE = 1 << 20
 
 _WORD_END_SYMBOL = re.compile(r"[#$%&*@^~|\\<>=+]+")
 _STOPS = ".!?…"
@@ -66,8 +69,7 @@ def describe(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                cut = batch.slice(at, ROWS)
+            for cut in slices(batch, size=SLICE):
                 stats = [statistics(t or "") for t in cut.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
@@ -179,7 +181,5 @@ def score(described: DataFrame, model: Model) -> DataFrame:
 
 def train_and_score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model of those that labels (doc_id, label) holds."""
-    from quarry.llm.common import materialize
-
     described = materialize(describe(documents), "quality-stats")
     return score(described, fit(described.join(labels.select("doc_id", "label"), "doc_id")))

@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, slices
 
 MIN_WORDS, MIN_SENTENCES = 25, 2
 #: What ends a sentence: . ! or ? and the white space behind it, or line feeds.
 SENTENCE_END = re.compile(r"[.!?]\s+|\n+")
-ROWS = 500
+#: Bytes of text worked on at a time.
+SLICE = 1 << 20
 
 
 def sentences(text: str) -> list[str]:
@@ -96,8 +97,7 @@ def corpus_spans(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                cut = batch.slice(at, ROWS)
+            for cut in slices(batch, size=SLICE):
                 found = [span_hashes(sentences(t), min_words, min_sentences) for t in cut.column("text").to_pylist()]
                 rows = np.repeat(np.arange(len(found)), [len(h) for h, _, _ in found])
                 if len(rows):

@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import huffman
-from quarry.llm.common import materialize, shared_path
+from quarry.llm.common import materialize, shared_path, slices
 from quarry.llm.tokens import END_ID, encoder
 
 #: A block is closed once it holds so many ids.
 BLOCK_IDS = 1 << 16
-#: Texts encoded at a time.
-ROWS = 1000
 _END = np.array([END_ID], "<u2")
 
 
@@ -38,8 +36,7 @@ def tokenize(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                cut = batch.slice(at, ROWS)
+            for cut in slices(batch):
                 ids = [np.append(x, _END) for x in encode(cut.column("text"))]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.cumsum(sizes) - sizes

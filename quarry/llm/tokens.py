@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Encoded pieces that one Python worker remembers: some 120 MB. Others are encoded again in each batch they come in.
-CACHE_PIECES = 600_000
+#: Encoded pieces that one Python worker remembers, in Arrow and NumPy arrays: some 5 MB. Others are encoded again in
+#: each slice they come in.
+CACHE_PIECES = 200_000
 _LINE_FEED = 198
 #: With any of this in a text it is encoded whole: runs of white space or of punctuation, other white space, specials.
 _UNSURE = r"[^\p{L}\p{N}][.,]|[ \n][ \n]|[ \n]$|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
@@ -46,7 +47,9 @@ class PieceEncoder:
             raise ValueError("ids must fit 16 bits")
         self._model = self._whole.model
         self._letters = _byte_letters()
-        self._cache: dict[str, bytes] = {"": b"", "\n": array("H", [_LINE_FEED]).tobytes()}
+        self._words = pa.array(["", "\n"], pa.string())  # the pieces known, their ids in one array, and where each one's begin
+        self._flat = np.array([_LINE_FEED], "<u2")
+        self._starts = np.array([0, 0, 1], np.int64)
         self._most = cache_pieces
 
     def _ids(self, text: str) -> np.ndarray:
@@ -72,21 +75,25 @@ class PieceEncoder:
             sure = pc.replace_substring(sure, mark, cut)
         split = pc.split_pattern(sure, "\0")
         pieces = split.flatten().dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        known = list(map(self._cache.get, words))
-        missing = [k for k, ids in enumerate(known) if ids is None]
-        for k, ids in zip(missing, self._learn([words[k] for k in missing]) if missing else (), strict=True):
-            known[k] = ids
-            if len(self._cache) < self._most:
-                self._cache[words[k]] = ids
+        known = pc.index_in(pieces.dictionary, value_set=self._words)
+        place = known.fill_null(-1).to_numpy().astype(np.int64)
+        flat, starts = self._flat, self._starts
+        if known.null_count:
+            missing = pieces.dictionary.filter(known.is_null())
+            learnt = self._learn(missing.to_pylist())
+            place[place < 0] = len(self._words) + np.arange(len(missing))
+            flat = np.concatenate([flat, np.frombuffer(b"".join(learnt), "<u2")])
+            starts = np.concatenate([starts, starts[-1] + np.cumsum(np.fromiter(map(len, learnt), np.int64, len(learnt)) >> 1)])
+            if room := min(self._most - len(self._words), len(missing)):
+                self._words = pa.concat_arrays([self._words, missing[:room]])
+                self._starts = starts[: len(self._words) + 1]
+                self._flat = flat[: self._starts[-1]]
         # the ids of all pieces, gathered from the distinct ones
-        size = np.fromiter(map(len, known), np.int64, len(known)) >> 1
-        start = np.cumsum(size) - size
-        code = pieces.indices.to_numpy()
-        each = size[code]
+        code = place[pieces.indices.to_numpy()]
+        each = starts[code + 1] - starts[code]
         end = np.cumsum(each)
         total = int(end[-1]) if len(end) else 0
-        flat = np.frombuffer(b"".join(known), "<u2")[np.arange(total) + np.repeat(start[code] - (end - each), each)]
+        flat = flat[np.arange(total) + np.repeat(starts[code] - (end - each), each)]
         bounds = np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         for k in np.flatnonzero(unsure.to_numpy(zero_copy_only=False)):
