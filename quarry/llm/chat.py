@@ -6,7 +6,9 @@ with marked turns and a loss mask over the assistant's texts.
 
 Nulls and ties: null texts and roles count as empty; messages without tree or node id form their own group or are
 told apart by the row order (turn, role, text). Repeated rows stay as turns of their own. A parent that does not
-exist makes its child a root. Branches of equal score rank by leaf id. Empty tables give empty results. Columns
+exist makes its child a root. Messages that repeat a node id of their tree share its place on each path, under the
+least of their parents. Where parents form a cycle, or a node is its own parent, the least node of the cycle is the
+root. Branches of equal score rank by leaf id. Empty tables give empty results. Columns
 other than those named are not read.
 """
 
@@ -44,23 +46,39 @@ def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): every message on the way from each leaf to its root, up: steps above the leaf.
 
     Each round joins what is known with the ancestor twice as far up, so a tree of depth d takes log2(d) rounds,
-    and no round makes more rows than the result has.
+    and no round makes more rows than the result has. A message whose way up is longer than its tree is on a cycle or
+    below one.
     """
-    links = messages.select("tree", "node", "parent")
+    links = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"))
+    longest = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    found, roots = _paths(links, longest)
+    return found if roots is None else _paths(_with_roots(links, roots), longest)[0]
+
+
+def _with_roots(links: DataFrame, roots: DataFrame) -> DataFrame:
+    cut = roots.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.lit(True).alias("cut"))
+    marked = links.join(cut, links["tree"].eqNullSafe(cut["t"]) & (links["node"] == cut["n"]), "left")
+    return materialize(marked.select("tree", "node", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent")), "chat-links")
+
+
+def _paths(links: DataFrame, longest: int) -> tuple[DataFrame, DataFrame | None]:
+    """paths(), and the least node (tree, node) of each cycle, if there are any; then the paths are not complete."""
     known = links.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     child = links.where("parent is not null")
-    jump = materialize(child.join(known, child["tree"].eqNullSafe(known["t"]) & (child["parent"] == known["n"])).select("tree", "node", F.col("parent").alias("above")), "chat-jump")
+    jump = materialize(child.join(known, child["tree"].eqNullSafe(known["t"]) & (child["parent"] == known["n"])).select("tree", "node", F.col("parent").alias("above"), F.col("parent").alias("least")), "chat-jump")
     inner = jump.select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
     found = links.join(inner, links["tree"].eqNullSafe(inner["t"]) & (links["node"] == inner["n"]), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up"))
     step = 1
     while not jump.isEmpty():
-        hop = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("a"))
+        if step > longest:
+            return found, materialize(jump.where("node = least").select("tree", "node"), "chat-cycles")
+        hop = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("a"), F.col("least").alias("l"))
         further = found.join(hop, found["tree"].eqNullSafe(hop["t"]) & (found["node"] == hop["n"])).select("tree", "leaf", F.col("a").alias("node"), (F.col("up") + step).alias("up"))
         found = found.unionByName(materialize(further, "chat-paths"))
-        onward = jump.join(hop, jump["tree"].eqNullSafe(hop["t"]) & (jump["above"] == hop["n"])).select("tree", "node", F.col("a").alias("above"))
+        onward = jump.join(hop, jump["tree"].eqNullSafe(hop["t"]) & (jump["above"] == hop["n"])).select("tree", "node", F.col("a").alias("above"), F.least("least", "l").alias("least"))
         jump = materialize(onward, "chat-jump")
         step *= 2
-    return found
+    return found, None
 
 
 def ranked_branches(messages: DataFrame, branches: int | None = None) -> DataFrame:

@@ -40,6 +40,13 @@ def _at(array: Column, length: int) -> Column:
     return F.when(last >= 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
+def _windows_at(array: Column, length: int) -> Column:
+    """Hash and words of each window of so many words, by start."""
+    last = F.size(array) - F.lit(length)
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.slice(array, i + 1, length)).alias("hash"), F.slice(array, i + 1, length).alias("words")))
+    return F.when(last >= 0, each)
+
+
 def benchmark_windows(benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """(window_hash, n, window, items): the distinct windows with the ids of the items that hold them."""
     split = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -49,21 +56,32 @@ def benchmark_windows(benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, text_hash, rows, n_words, positions, items) of each distinct document, in one pass over the texts.
+    """(doc_id, text_hash, rows, n_words, positions, items) of each distinct document.
 
     rows: how often the document occurs; positions: of the hit words, from 0; items: those whose windows occur.
-    Besides its windows each text gives one row that matches a window of no words, so that none is lost.
+    The texts are read once for each length that windows have: one length, but for items of fewer than n words.
+    While the windows are broadcast, each text also gives one row that matches a window of no words, so that none is
+    lost. Where they are too many, each window of a text goes to the shuffle with its own words only, and the texts
+    are read once more for those rows.
     """
     windows = benchmark_windows(benchmark, n)
     sizes = {r["n"]: r["count"] for r in windows.groupBy("n").count().collect()}  # n rows at most
-    parts = []
+    parts, few = [], sum(sizes.values()) <= broadcast_windows
+    texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    if not few:
+        whole = texts.select("doc_id", "text_hash", F.size("w").alias("words"), F.lit(None).cast("struct<pos:int,n:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"))
+        parts.append(whole)
     for k, length in enumerate(sorted(sizes) or [n]):
+        if not few:
+            own = windows.where(F.col("n") == length)
+            at = texts.select("doc_id", "text_hash", F.posexplode(_windows_at(F.col("w"), length)).alias("pos", "found"))
+            same = (at["found.hash"] == own["window_hash"]) & (at["found.words"] == own["window"])
+            parts.append(at.join(own, same).select("doc_id", "text_hash", F.lit(None).cast("int").alias("words"), F.struct("pos", "n").alias("span"), "items"))
+            continue
         own = windows.where(F.col("n") == length)
         if k == 0:
             own = own.unionByName(windows.sparkSession.sql(f"SELECT {NO_WINDOW} AS window_hash, 0 AS n, cast(array() AS array<string>) AS window, cast(NULL AS array<string>) AS items"))
-        if sum(sizes.values()) <= broadcast_windows:
-            own = F.broadcast(own)
-        texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+        own = F.broadcast(own)
         hashes = _at(F.col("w"), length)
         at = texts.select("doc_id", "text_hash", "w", F.posexplode(F.concat(hashes, F.array(F.lit(NO_WINDOW)).cast("array<bigint>")) if k == 0 else hashes).alias("pos", "found"))
         same = (at["found"] == own["window_hash"]) & (F.slice(at["w"], at["pos"] + 1, own["n"]) == own["window"])

@@ -210,8 +210,8 @@ def owed(met: DataFrame) -> DataFrame:
     large = materialize(met.groupBy("meeting").agg(F.count("*").alias("size")).where(F.col("size") > SMALL), "jaccard-large")
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), "meeting"))
     spared = F.floor(F.least(F.col("spare"), F.floor(F.floor(F.col("n") * SHARE[0] / SHARE[1]) / SLACK)) / 2)
-    crowded = met.join(bounded(large), "meeting").withColumn("place", place).where(F.col("place") > spared)
-    return met.join(bounded(large), "meeting", "left_anti").unionByName(crowded.select(*met.columns))
+    ranked = met.join(bounded(large), "meeting", "left").withColumn("place", place)
+    return ranked.where(F.col("size").isNull() | (F.col("place") > spared)).select(*met.columns)
 
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,8 +5,9 @@ Normal equations are summed by partition over a bounded number of labelled rows
 are calibrated on labelled rows that the regression has not seen.
 
 Nulls and ties: a null text counts as empty, and empty texts have statistics (zeros) and a score like others. Rows
-whose label is null train nothing; several labels of one document count each. Without labels, or with only one kind,
-all scores are that kind's share (0.5 without any). Equal texts get equal scores. Texts are used whole; columns other
+whose label is null train nothing; several labels of one document count each. Scores are shares of calibration rows
+with one row of either kind added half to each, so labels of one kind give a share near that kind, not at it; without
+labels, or without any in the calibration fold, all scores are 0.5. Equal texts get equal scores. Texts are used whole; columns other
 than doc_id, text and the labels' are not read.
 """
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import chat, decontaminate, html_extract, jaccard_join, langid, media, packing, quality, substring_dedup, token_files
-from quarry.llm.common import fold, table
+from quarry.llm.common import fold, materialize, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.features(media.store(table(spark, sf_dir, "documents")))
+    found = media.features(materialize(media.store(table(spark, sf_dir, "documents")), "media"))
     digest = F.concat_ws(":", F.size("prints"), F.sha2(F.array_join("prints", ","), 256)).alias("feature")
     return found.select(*[c for c in found.columns if c != "prints"], digest)
 

@@ -6,10 +6,10 @@ onward, and from each back, until they hold MIN_SENTENCES sentences and MIN_WORD
 twice MIN_WORDS words or more, cut at sentence ends, is covered whole. One sentence of twice MIN_WORDS is a span too.
 
 The first occurrence is the one with the smallest doc_id, then the least hash of the text, then the earliest sentence;
-it stays. Spans are compared by
-a 64-bit hash of their words (A-Z lower-cased, split at ASCII white space).
+it stays. Spans are compared by a 64-bit hash of their words (A-Z lower-cased, split at ASCII white space).
 
-Nulls and ties: a null or empty text has no sentences and stays as it is. A null doc_id comes first. Rows that repeat
+Nulls and ties: a null or empty text has no sentences and stays as it is. Ids of any type that can be ordered do; a null
+doc_id comes first. Rows that repeat
 a doc_id with the same text are one document: each keeps what that document keeps. A null is no id, so rows with a
 null doc_id are a document each, and of those with the same text one counts as the first. Texts of any length are used
 whole. All columns of the input are kept; names do not matter beyond doc_id and text. Empty tables stay empty.
@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, slices
+from quarry.llm.common import bounded, materialize, slices
 
 MIN_WORDS, MIN_SENTENCES = 25, 2
 #: What ends a sentence: . ! or ? and the white space behind it, or line feeds.
@@ -92,7 +92,7 @@ def span_hashes(parts: list[str], min_words: int = MIN_WORDS, min_sentences: int
 def corpus_spans(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
     """(span, doc, text_hash, at, size, again): hash, first sentence and number of sentences of every span of every text.
 
-    doc: the id, null as the least; again: the span occurred before in the same text.
+    doc: the id; again: the span occurred before in the same text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,25 +111,22 @@ def corpus_spans(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences
                         ["span", "doc", "text_hash", "at", "size", "again"],
                     )
 
-    docs = documents.where("text is not null").select(_doc(F.col("doc_id")).alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
-    return docs.mapInArrow(run, "span long, doc long, text_hash long, at int, size int, again boolean")
-
-
-def _doc(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("bigint"), F.lit(-(1 << 63)))
+    docs = documents.where("text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
+    return docs.mapInArrow(run, f"span long, doc {docs.schema['doc'].dataType.simpleString()}, text_hash long, at int, size int, again boolean")
 
 
 def repeated(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
     """(doc, text_hash, at, size): the runs of sentences of each document that are a span's later occurrences.
 
     First occurrences are found by sums that start before the shuffle, so a span in a third of all documents is no
-    burden; only spans that occur in several documents are joined back to their places.
+    burden there. Spans that occur in several documents are then joined back to their places: by broadcast while
+    there are few, else by a shuffle, in which Spark splits what is skewed.
     """
     found = corpus_spans(documents, min_words, min_sentences)
     key = F.struct("doc", "text_hash")
     first = found.groupBy("span").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last")
-    first = first.select("span", F.col("first.doc").alias("first"), F.col("first.text_hash").alias("first_hash"))
-    later = found.join(materialize(first, "repeated-spans"), "span", "left").where("again or doc > first or doc = first and text_hash > first_hash")
+    first = bounded(materialize(first.select("span", "first"), "repeated-spans"))
+    later = found.join(first, "span", "left").where(F.col("again") | (key > F.col("first")))
     runs = later.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     return runs.select("doc", "text_hash", F.transform("runs", lambda r: r["at"]).alias("at"), F.transform("runs", lambda r: r["size"]).alias("size"))
 
@@ -142,7 +139,7 @@ def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences:
     if not unnamed.isEmpty():
         rank = F.row_number().over(Window.partitionBy(F.xxhash64("text")).orderBy(F.xxhash64("text")))
         marked = marked.where("doc_id is not null").unionByName(unnamed.withColumn("_copy", F.col("text").isNotNull() & (rank > 1)))
-    both = marked.join(cuts, (_doc(marked["doc_id"]) == cuts["_cut_doc"]) & (F.xxhash64(marked["text"]) == cuts["_cut_hash"]), "left")
+    both = marked.join(cuts, marked["doc_id"].eqNullSafe(cuts["_cut_doc"]) & (F.xxhash64(marked["text"]) == cuts["_cut_hash"]), "left")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def cut(texts: pd.Series, starts: pd.Series, sizes: pd.Series, copies: pd.Series) -> pd.DataFrame:

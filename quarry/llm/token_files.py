@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import huffman
-from quarry.llm.common import materialize, shared_path, slices
+from quarry.llm.common import discard, materialize, shared_path, slices
 from quarry.llm.tokens import END_ID, encoder
 
 #: A block is closed once it holds so many ids.
 BLOCK_IDS = 1 << 16
 _END = np.array([END_ID], "<u2")
+_BLOCKS = "part int, before long, doc_ids array<{}>, sizes array<long>, checkpoints array<long>, bits binary"
 
 
 def tokenize(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -66,7 +67,11 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
 
 
 def write(tokens: DataFrame, path: str) -> None:
-    """Writes path/code (length of each id's code), path/parts (ids in each part) and path/blocks."""
+    """Writes path/code (length of each id's code), path/parts (ids in each part) and path/blocks.
+
+    The blocks of each part are one file in a folder of its own; folders in order of name, and blocks in order within
+    a file, hold the documents by ascending doc_id.
+    """
     spark = tokens.sparkSession
     lengths = huffman.code_lengths(count_ids(tokens))
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, length int").coalesce(1).write.parquet(f"{path}/code")
@@ -96,7 +101,10 @@ def write(tokens: DataFrame, path: str) -> None:
             yield block(rows)
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    tokens.select("part", "before", "doc_id", "n_tokens", "ids").mapInArrow(run, f"part int, before long, doc_ids array<{kind}>, sizes array<long>, checkpoints array<long>, bits binary").write.parquet(f"{path}/blocks")
+    blocks = tokens.select("part", "before", "doc_id", "n_tokens", "ids").mapInArrow(run, _BLOCKS.format(kind))
+    ordered = blocks.withColumn("slot", F.format_string("%06d", "part")).repartition("slot").sortWithinPartitions("slot", "before")
+    ordered.write.partitionBy("slot").parquet(f"{path}/blocks")
+    tokens.limit(0).select("doc_id").write.parquet(f"{path}/kind")
     sent.unpersist()
 
 
@@ -106,7 +114,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     for row in spark.read.parquet(f"{path}/code").collect():  # at most one row for each id
         lengths[row["id"]] = row["length"]
     sent = spark.sparkContext.broadcast(lengths)
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_BLOCKS.format(spark.read.parquet(f"{path}/kind").schema["doc_id"].dataType.simpleString())).parquet(f"{path}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,5 +148,7 @@ def round_trip(documents: DataFrame, vocabulary: str | None = None) -> DataFrame
     """Writes the documents' ids to a new folder of files and returns what read() finds there."""
     spark = documents.sparkSession
     path = shared_path(spark, "token-files")
-    write(materialize(tokenize(documents, vocabulary), "token-ids"), path)
+    tokens = materialize(tokenize(documents, vocabulary), "token-ids")
+    write(tokens, path)
+    discard(tokens)
     return read(spark, path)
