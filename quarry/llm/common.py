@@ -75,6 +75,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SLICE_ROWS,
         at = end
 
 
+def in_batches(df: DataFrame, size: str = "4m") -> DataFrame:
+    """df, whose rows go to Python workers in Arrow batches of so many bytes at most.
+
+    By default Spark sends up to 10,000 rows or 64 MB at once, of which the executor and the worker each hold a copy.
+    This sets spark.sql.execution.arrow.maxBytesPerBatch of the session.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

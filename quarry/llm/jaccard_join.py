@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, discard, materialize, slices
+from quarry.llm.common import bounded, discard, in_batches, materialize, slices
 
 SHINGLE = 5
 #: Similarity of at least 75 / 100. The bound on differing members, (|A| + |B|) / 7, follows from it.
@@ -144,7 +144,7 @@ def describe(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("text_hash"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "text_hash", "node", "n"])
 
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n long")
+    return in_batches(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n long")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
                     node, n, spare = (np.repeat(np.array(c, np.int64), [len(f) for f in found]) for c in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(spare.astype(np.int32))], ["key", "node", "n", "spare"])
 
-    return documents.select("text").mapInArrow(run, "key long, node long, n int, spare int")
+    return in_batches(documents.select("text")).mapInArrow(run, "key long, node long, n int, spare int")
 
 
 def meetings(documents: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFr
                 fit.append(near)
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    return dealt.select("b", "a", "text").mapInArrow(run, "a long, b long")
+    return in_batches(dealt).select("b", "a", "text").mapInArrow(run, "a long, b long")
 
 
 def _sketches(nodes: DataFrame, wanted: DataFrame, documents: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def _sketches(nodes: DataFrame, wanted: DataFrame, documents: DataFrame) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "n", "sketch"])
 
-    return _texts(nodes, wanted, documents).mapInArrow(run, "node long, n long, sketch binary").dropDuplicates(["node"])
+    return in_batches(_texts(nodes, wanted, documents)).mapInArrow(run, "node long, n long, sketch binary").dropDuplicates(["node"])
 
 
 def components(links: DataFrame) -> DataFrame:

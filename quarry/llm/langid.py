@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
+from quarry.llm.common import in_batches, slices
 
 UNDETERMINED = "und"
 #: N-grams in a language's profile and in a document's.
@@ -90,7 +90,7 @@ def learn_profiles(labelled: DataFrame, size: int = PROFILE) -> dict[str, np.nda
                     yield from rows()
         yield from rows()
 
-    counts = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, code long, n long")
+    counts = in_batches(labelled).where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, code long, n long")
     ranked = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")))
     found: dict[str, list] = {}
     for row in ranked.where(F.col("rank") <= size).orderBy("lang", "rank").collect():
@@ -140,7 +140,7 @@ def predict(documents: DataFrame, profiles: dict[str, np.ndarray], size: int = P
         for part in texts:
             yield pd.DataFrame([model.predict(t) for t in part], columns=["lang_pred", "score", "n_grams", "n_known"])
 
-    return documents.withColumn("lang_id", tell("text"))
+    return in_batches(documents).withColumn("lang_id", tell("text"))
 
 
 def identify(documents: DataFrame, training: Column) -> DataFrame:

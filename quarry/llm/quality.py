@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, slices
+from quarry.llm.common import in_batches, materialize, slices
 
 #: Random features, ridge penalty (as a share of the rows) and kernel width (in standard deviations, for each statistic).
 FEATURES, RIDGE, WIDTH, SEED = 256, 1e-4, 1.5, 7
@@ -75,7 +75,7 @@ def describe(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
     docs = documents.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<double>")
+    return in_batches(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<double>")
 
 
 class Model:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, materialize, slices
+from quarry.llm.common import bounded, in_batches, materialize, slices
 
 MIN_WORDS, MIN_SENTENCES = 25, 2
 #: What ends a sentence: . ! or ? and the white space behind it, or line feeds.
@@ -112,7 +112,7 @@ def corpus_spans(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences
                     )
 
     docs = documents.where("text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
-    return docs.mapInArrow(run, f"span long, doc {docs.schema['doc'].dataType.simpleString()}, text_hash long, at int, size int, again boolean")
+    return in_batches(docs).mapInArrow(run, f"span long, doc {docs.schema['doc'].dataType.simpleString()}, text_hash long, at int, size int, again boolean")
 
 
 def repeated(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
@@ -155,5 +155,5 @@ def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences:
             rows.append(("".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else text, len(parts), int(gone.sum())))
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
-    done = both.withColumn("_cut", cut("text", "_cut_at", "_cut_size", "_copy"))
+    done = in_batches(both).withColumn("_cut", cut("text", "_cut_at", "_cut_size", "_copy"))
     return done.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns], F.struct("_cut.n_sentences", "_cut.n_removed").alias("repeats"))

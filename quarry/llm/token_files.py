@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import huffman
-from quarry.llm.common import discard, materialize, shared_path, slices
+from quarry.llm.common import discard, in_batches, materialize, shared_path, slices
 from quarry.llm.tokens import END_ID, encoder
 
 #: A block is closed once it holds so many ids.
@@ -47,7 +47,7 @@ def tokenize(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     ["part", "before", "doc_id", "n_tokens", "ids"],
                 )
 
-    return docs.mapInArrow(run, f"part int, before long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return in_batches(docs).mapInArrow(run, f"part int, before long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
@@ -137,7 +137,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def schema(batch: pa.RecordBatch) -> pa.Schema:
         return pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_id", batch.column("doc_ids").type.value_type), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
-    found = blocks.mapInArrow(run, f"part int, before long, doc_id {kind}, n_tokens long, ids_crc32 long, ids binary")
+    found = in_batches(blocks).mapInArrow(run, f"part int, before long, doc_id {kind}, n_tokens long, ids_crc32 long, ids binary")
     parts = spark.read.parquet(f"{path}/parts")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     starts = parts.select("part", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("first"))
