@@ -1,4 +1,4 @@
 """All queries outside the llm subpackage."""
 
-from quarry.plans import diffs, joins, matching, reports, sequences, texts  # noqa: F401
+from quarry.plans import diffs, joins, matching, reports, sequences, staff, texts  # noqa: F401
 from quarry.plans.registry import ORACLES, QUERIES  # noqa: F401
