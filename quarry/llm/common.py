@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +63,7 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 #: Rows and bytes of text that a task works on at a time; one longer text is a slice of its own.
-SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 1000, 1 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -85,6 +87,23 @@ def in_batches(df: DataFrame, size: str = "4m") -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns this worker's free memory to the system: an idle worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow() in batches of bounded bytes; each task gives its memory back at its end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return in_batches(df).mapInArrow(task, schema)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

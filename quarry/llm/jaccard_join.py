@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, discard, in_batches, materialize, slices
+from quarry.llm.common import bounded, discard, map_arrow, materialize, slices
 
 SHINGLE = 5
 #: Similarity of at least 75 / 100. The bound on differing members, (|A| + |B|) / 7, follows from it.
@@ -144,7 +144,7 @@ def describe(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("text_hash"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "text_hash", "node", "n"])
 
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return in_batches(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n long")
+    return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n long")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
                     node, n, spare = (np.repeat(np.array(c, np.int64), [len(f) for f in found]) for c in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(spare.astype(np.int32))], ["key", "node", "n", "spare"])
 
-    return in_batches(documents.select("text")).mapInArrow(run, "key long, node long, n int, spare int")
+    return map_arrow(documents.select("text"), run, "key long, node long, n int, spare int")
 
 
 def meetings(documents: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def meetings(documents: DataFrame) -> DataFrame:
         if met:
             yield rows(np.array([number]), *(np.array([w]) for w in waits[1:]))
 
-    return _keyed(documents).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "meeting long, node long, n int, spare int")
+    return map_arrow(_keyed(documents).repartition("key").sortWithinPartitions("key", "node"), run, "meeting long, node long, n int, spare int")
 
 
 def owed(met: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _centres(met: DataFrame) -> DataFrame:
             order, first = _runs(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a[order][first]), pa.array(b[order][first]), pa.array(need[order][first]), pa.array(np.diff(np.r_[first, len(a)]))], ["a", "b", "need", "times"])
 
-    pairs = ordered.mapInArrow(run, "a long, b long, need long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
+    pairs = map_arrow(ordered, run, "a long, b long, need long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need"))
     best = pairs.groupBy("a").agg(F.max_by(F.struct("b", "need", "times"), F.struct("times", "b")).alias("best"))
     # a node may meet another one elsewhere too, so half of what is needed is enough here
     return best.where(F.col("best.times") * 2 >= F.col("best.need")).select("a", F.col("best.b").alias("b"))
@@ -291,7 +291,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFr
                 fit.append(near)
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    return in_batches(dealt).select("b", "a", "text").mapInArrow(run, "a long, b long")
+    return map_arrow(dealt.select("b", "a", "text"), run, "a long, b long")
 
 
 def _sketches(nodes: DataFrame, wanted: DataFrame, documents: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def _sketches(nodes: DataFrame, wanted: DataFrame, documents: DataFrame) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "n", "sketch"])
 
-    return in_batches(_texts(nodes, wanted, documents)).mapInArrow(run, "node long, n long, sketch binary").dropDuplicates(["node"])
+    return map_arrow(_texts(nodes, wanted, documents), run, "node long, n long, sketch binary").dropDuplicates(["node"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -392,7 +392,7 @@ def _apart(met: DataFrame, labels: DataFrame) -> DataFrame:
         if len(kept[0]):
             yield rows(list(kept), np.zeros(len(kept[0]), bool))
 
-    return told.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(run, "a long, b long, need long, times long, meeting long")
+    return map_arrow(told.repartition("meeting").sortWithinPartitions("meeting", "node"), run, "a long, b long, need long, times long, meeting long")
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import in_batches, slices
+from quarry.llm.common import give_back, in_batches, map_arrow, slices
 
 UNDETERMINED = "und"
 #: N-grams in a language's profile and in a document's.
 PROFILE, DOCUMENT = 400, 300
 #: Distinct n-grams that a task counts before it hands its counts on.
 HELD = 200_000
-#: Bytes of text whose n-grams are counted at a time: some 100 MB of codes and copies.
-SLICE = 1 << 20
+#: Bytes of text whose n-grams are counted at a time: some 25 MB of codes and copies.
+SLICE = 1 << 18
 
 _letters: list[np.ndarray] = []
 
@@ -90,7 +90,7 @@ def learn_profiles(labelled: DataFrame, size: int = PROFILE) -> dict[str, np.nda
                     yield from rows()
         yield from rows()
 
-    counts = in_batches(labelled).where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, code long, n long")
+    counts = map_arrow(labelled.where("text is not null and lang is not null").select("text", "lang"), run, "lang string, code long, n long")
     ranked = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")))
     found: dict[str, list] = {}
     for row in ranked.where(F.col("rank") <= size).orderBy("lang", "rank").collect():
@@ -139,6 +139,7 @@ def predict(documents: DataFrame, profiles: dict[str, np.ndarray], size: int = P
         model = Model(sent.value, size)
         for part in texts:
             yield pd.DataFrame([model.predict(t) for t in part], columns=["lang_pred", "score", "n_grams", "n_known"])
+        give_back()
 
     return in_batches(documents).withColumn("lang_id", tell("text"))
 

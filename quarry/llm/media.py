@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import in_batches, slices
+from quarry.llm.common import map_arrow, slices
 
 UNIT = 64
 RATE = 8000
@@ -95,7 +95,7 @@ def store(documents: DataFrame) -> DataFrame:
                 )
 
     docs = documents.select("doc_id", "text")
-    return in_batches(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -121,4 +121,4 @@ def features(stored: DataFrame) -> DataFrame:
                 )
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    return in_batches(stored).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, prints array<long>")
+    return map_arrow(stored, run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, prints array<long>")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import in_batches, materialize, slices
+from quarry.llm.common import map_arrow, materialize, slices
 from quarry.llm.tokens import END_ID, encoder
 
 LENGTH = 1024
@@ -138,7 +138,7 @@ def pack(documents: DataFrame, length: int = LENGTH, windows: int = OPEN_WINDOWS
         kinds = [group.schema.field("doc_id").type, *[pa.int64()] * 6, pa.int32(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_COLUMNS)
 
-    placed = materialize(in_batches(docs).mapInArrow(run, schema), "packed")
+    placed = materialize(map_arrow(docs, run, schema), "packed")
     left = placed.where("sequence_id is null").withColumn("merge", F.floor(F.col("part") / MERGED_PARTS))
     full = placed.where("sequence_id is not null").unionByName(left.groupBy("merge").applyInArrow(join, schema))
     return full.select(*_COLUMNS[:7], *["ids"] * keep_ids)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import in_batches, materialize, slices
+from quarry.llm.common import map_arrow, materialize, slices
 
 #: Random features, ridge penalty (as a share of the rows) and kernel width (in standard deviations, for each statistic).
 FEATURES, RIDGE, WIDTH, SEED = 256, 1e-4, 1.5, 7
@@ -75,7 +75,7 @@ def describe(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
     docs = documents.select("doc_id", "text")
-    return in_batches(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<double>")
+    return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<double>")
 
 
 class Model:
@@ -138,7 +138,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             rows += len(x)
         yield pa.RecordBatch.from_pydict({"rows": [rows], "sums": [total.ravel().tobytes()]})
 
-    found = labelled.mapInArrow(moments, "rows long, sums binary").collect()  # FIT_PARTS rows
+    found = map_arrow(labelled, moments, "rows long, sums binary").collect()  # FIT_PARTS rows
     rows = sum(r["rows"] for r in found) or 1
     mean, square = sum(np.frombuffer(r["sums"]).reshape(2, -1) for r in found) / rows
     model = Model(mean, np.sqrt(np.maximum(square - mean * mean, 0)))
@@ -151,7 +151,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             right += z.T @ np.asarray(batch.column("label"))
         yield pa.RecordBatch.from_pydict({"left": [left.tobytes()], "right": [right.tobytes()]})
 
-    sums = labelled.where(~part).mapInArrow(equations, "left binary, right binary").collect()  # FIT_PARTS rows
+    sums = map_arrow(labelled.where(~part), equations, "left binary, right binary").collect()  # FIT_PARTS rows
     left = sum(np.frombuffer(r["left"]) for r in sums).reshape(FEATURES + 1, -1)
     right = sum(np.frombuffer(r["right"]) for r in sums)
     model.weights = np.linalg.solve(left + (RIDGE * max(left[0, 0], 1) * np.eye(FEATURES + 1)), right)
@@ -161,7 +161,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             bins = np.clip(np.floor(model.raw(_stats(batch)) * BINS), -BINS, 2 * BINS).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"bin": bins, "label": batch.column("label")})
 
-    held = labelled.where(part).mapInArrow(binned, "bin long, label double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("p")).orderBy("bin").collect()  # 3 * BINS rows at most
+    held = map_arrow(labelled.where(part), binned, "bin long, label double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("p")).orderBy("bin").collect()  # 3 * BINS rows at most
     if held:
         shares = isotonic(np.array([r["n"] for r in held], float), np.array([r["p"] for r in held], float))
         model.steps = np.array([r["bin"] for r in held][1:]) / BINS, shares
@@ -177,7 +177,7 @@ def score(described: DataFrame, model: Model) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.score(_stats(batch)))], ["doc_id", "score"])
 
-    return described.select("doc_id", "stats").mapInArrow(run, f"doc_id {described.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_arrow(described.select("doc_id", "stats"), run, f"doc_id {described.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def train_and_score(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, in_batches, materialize, slices
+from quarry.llm.common import bounded, give_back, in_batches, map_arrow, materialize, slices
 
 MIN_WORDS, MIN_SENTENCES = 25, 2
 #: What ends a sentence: . ! or ? and the white space behind it, or line feeds.
@@ -112,7 +112,7 @@ def corpus_spans(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences
                     )
 
     docs = documents.where("text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
-    return in_batches(docs).mapInArrow(run, f"span long, doc {docs.schema['doc'].dataType.simpleString()}, text_hash long, at int, size int, again boolean")
+    return map_arrow(docs, run, f"span long, doc {docs.schema['doc'].dataType.simpleString()}, text_hash long, at int, size int, again boolean")
 
 
 def repeated(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
@@ -142,18 +142,20 @@ def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences:
     both = marked.join(cuts, marked["doc_id"].eqNullSafe(cuts["_cut_doc"]) & (F.xxhash64(marked["text"]) == cuts["_cut_hash"]), "left")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
-    def cut(texts: pd.Series, starts: pd.Series, sizes: pd.Series, copies: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, at, size, copy in zip(texts, starts, sizes, copies, strict=True):
-            parts = sentences(text or "")
-            if copy:  # all its spans occurred before
-                _, first, end = span_hashes(parts, min_words, min_sentences)
-                at, size = first, end - first
-            gone = np.zeros(len(parts), bool)
-            for a, n in zip(at, size, strict=True) if at is not None else ():
-                gone[a : a + n] = True
-            rows.append(("".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else text, len(parts), int(gone.sum())))
-        return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
+    def cut(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, starts, sizes, copies in columns:
+            rows = []
+            for text, at, size, copy in zip(texts, starts, sizes, copies, strict=True):
+                parts = sentences(text or "")
+                if copy:  # all its spans occurred before
+                    _, first, end = span_hashes(parts, min_words, min_sentences)
+                    at, size = first, end - first
+                gone = np.zeros(len(parts), bool)
+                for a, n in zip(at, size, strict=True) if at is not None else ():
+                    gone[a : a + n] = True
+                rows.append(("".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else text, len(parts), int(gone.sum())))
+            yield pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
+        give_back()
 
     done = in_batches(both).withColumn("_cut", cut("text", "_cut_at", "_cut_size", "_copy"))
     return done.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns], F.struct("_cut.n_sentences", "_cut.n_removed").alias("repeats"))

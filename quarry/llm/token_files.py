@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import huffman
-from quarry.llm.common import discard, in_batches, materialize, shared_path, slices
+from quarry.llm.common import discard, map_arrow, materialize, shared_path, slices
 from quarry.llm.tokens import END_ID, encoder
 
 #: A block is closed once it holds so many ids.
@@ -47,7 +47,7 @@ def tokenize(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     ["part", "before", "doc_id", "n_tokens", "ids"],
                 )
 
-    return in_batches(docs).mapInArrow(run, f"part int, before long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return map_arrow(docs, run, f"part int, before long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
@@ -61,7 +61,7 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
     counts = np.zeros(1 << 16, np.int64)
-    for row in tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in map_arrow(tokens.select("ids"), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     return counts
 
@@ -101,7 +101,7 @@ def write(tokens: DataFrame, path: str) -> None:
             yield block(rows)
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    blocks = tokens.select("part", "before", "doc_id", "n_tokens", "ids").mapInArrow(run, _BLOCKS.format(kind))
+    blocks = map_arrow(tokens.select("part", "before", "doc_id", "n_tokens", "ids"), run, _BLOCKS.format(kind))
     ordered = blocks.withColumn("slot", F.format_string("%06d", "part")).repartition("slot").sortWithinPartitions("slot", "before")
     ordered.write.partitionBy("slot").parquet(f"{path}/blocks")
     tokens.limit(0).select("doc_id").write.parquet(f"{path}/kind")
@@ -137,7 +137,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def schema(batch: pa.RecordBatch) -> pa.Schema:
         return pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_id", batch.column("doc_ids").type.value_type), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
-    found = in_batches(blocks).mapInArrow(run, f"part int, before long, doc_id {kind}, n_tokens long, ids_crc32 long, ids binary")
+    found = map_arrow(blocks, run, f"part int, before long, doc_id {kind}, n_tokens long, ids_crc32 long, ids binary")
     parts = spark.read.parquet(f"{path}/parts")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     starts = parts.select("part", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("first"))
