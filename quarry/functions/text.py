@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Arabic letters that are written in several ways, and what each is folded to.
 FOLD_FROM, FOLD_TO = "أإآٱىةؤئ", "اااايهوي"
@@ -71,13 +75,16 @@ def compare_parts(a: Column, b: Column) -> Column:
 
 
 def phones(c: Column) -> Column:
-    """Distinct mobile numbers in a text: 01 and nine more digits, separators dropped."""
+    """Distinct mobile numbers in a text: 01 and nine more digits, separators dropped. The pattern is a fixed value."""
     plain = F.regexp_replace(fold_digits(c), r"(?<=\d)[ -](?=\d)", "")
     return F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?<!\d)(01\d{9})(?!\d)"), F.lit(1)))
 
 
 def plate(c: Column) -> Column:
-    """Canonical plate of up to four forms in order: number letters, letters number, number alone; blank if none."""
+    """Canonical plate of up to four forms in order: number letters, letters number, number alone; blank if none.
+
+    The patterns are fixed values.
+    """
     t = F.regexp_replace(fold_digits(F.upper(c)), r"[ -]+", " ")
     forms = [F.concat_ws(" ", F.nullif(F.regexp_extract(t, p, letters), F.lit("")), F.nullif(F.regexp_extract(t, p, number), F.lit(""))) for p, letters, number in ((r"(\d{2,4}) ([A-Z]{1,3})\b", 2, 1), (r"\b([A-Z]{1,3}) (\d{2,4})", 1, 2), (r"()\b(\d{3,4})\b", 1, 2))]
     return F.coalesce(*[F.nullif(f, F.lit("")) for f in forms], F.lit(""))
@@ -99,3 +106,97 @@ def ordered_subsequence(short: Column, long: Column) -> Column:
     """Whether the tokens of short occur in long in the same order."""
     at = F.aggregate(long, F.lit(1), lambda k, x: F.when((k <= F.size(short)) & (F.get(short, k - 1) == x), k + 1).otherwise(k))
     return at > F.size(short)
+
+
+def abbreviated(c: Column, short: dict[str, str]) -> Column:
+    """The short form of a label, blank if it has none."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in short.items() for x in pair]), c), F.lit(""))
+
+
+def problems(c: Column, longest: int, allowed: str, banned: dict[str, str]) -> Column:
+    """What is wrong with a field: too long, charset (it does not match allowed), or a label whose text it contains."""
+    found = [F.when(F.length(c) > longest, "too long"), F.when(~c.rlike(allowed), "charset")]
+    return F.concat_ws(",", *found, *[F.when(c.contains(x), label) for label, x in banned.items()])
+
+
+def by_keyword(c: Column, rules: Sequence[tuple[str, Sequence[str]]], otherwise: str) -> Column:
+    """The label of the first rule of which a keyword occurs in the text."""
+    out = F.when(F.lit(False), otherwise)
+    for label, words in rules:
+        out = out.when(reduce(Column.__or__, [c.contains(w) for w in words]), label)
+    return out.otherwise(otherwise)
+
+
+def in_vocabulary(c: Column, values: Sequence[str], aliases: dict[str, str]) -> Column:
+    """(raw, value, flags): the vocabulary's value for a text; flags: alias or unknown."""
+    plain = F.lower(F.trim(c))
+    known = F.array_contains(F.array(*map(F.lit, values)), plain)
+    other = abbreviated(plain, aliases)
+    flags = F.when(known, "").when(other != "", "alias").otherwise("unknown")
+    return F.struct(c.alias("raw"), F.when(known, plain).otherwise(other).alias("value"), flags.alias("flags"))
+
+
+def fuzzy_subsequence(short: Column, long: Column, distance: int) -> Column:
+    """Whether the tokens of short stand in long in order, each within an edit distance; the first that fits is taken."""
+    near = lambda x, k: F.levenshtein(x, F.coalesce(F.get(short, k - 1), F.lit("")), distance) >= 0
+    at = F.aggregate(long, F.lit(1), lambda k, x: F.when((k <= F.size(short)) & near(x, k), k + 1).otherwise(k))
+    return at > F.size(short)
+
+
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays, row by row of the usual table."""
+    start = F.array_repeat(F.lit(0), F.size(b) + 1)
+    cell = lambda row, x: F.aggregate(
+        F.sequence(F.lit(0), F.size(b) - 1), F.array(F.lit(0)), lambda done, j: F.concat(done, F.array(F.when(F.get(b, j) == x, F.get(row, j) + 1).otherwise(F.greatest(F.get(row, j + 1), F.element_at(done, -1)))))
+    )
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, start, cell), -1))
+
+
+def token_f1(a: Column, b: Column, cap: float) -> Column:
+    """F1 of two arrays of tokens as sets; at most cap if each has numbers and they differ."""
+    a, b = F.array_distinct(a), F.array_distinct(b)
+    numbers = lambda x: F.array_sort(F.filter(x, lambda t: t.rlike(r"^\d+$")))
+    f1 = F.lit(2.0) * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+    conflict = (F.size(numbers(a)) > 0) & (F.size(numbers(b)) > 0) & (numbers(a) != numbers(b))
+    return F.when(conflict, F.least(f1, F.lit(cap))).otherwise(f1)
+
+
+def leave_interval(c: Column, year: Column) -> Column:
+    """(s, e, k, of_n): 'd/M to d/M' of that year, the end a year later if it would come before the start; a counter (k/n)."""
+    plain = fold_digits(c)
+    span, count = r"(\d{1,2})/(\d{1,2}) to (\d{1,2})/(\d{1,2})", r"\((\d+)/(\d+)\)"
+    part = lambda k: F.try_to_number(F.nullif(F.regexp_extract(plain, span, k), F.lit("")), F.lit("99")).cast("int")
+    number = lambda k: F.try_to_number(F.nullif(F.regexp_extract(plain, count, k), F.lit("")), F.lit("99")).cast("int")
+    day = lambda y, m, d: F.try_to_date(F.format_string("%d-%02d-%02d", y, m, d), "yyyy-MM-dd")
+    s, e = F.when(part(1).isNotNull(), day(year, part(2), part(1))), F.when(part(3).isNotNull(), day(year, part(4), part(3)))
+    return F.struct(s.alias("s"), F.when(e < s, day(year + 1, part(4), part(3))).otherwise(e).alias("e"), number(1).alias("k"), number(2).alias("of_n"))
+
+
+#: Marks of direction and joining that are no part of a text.
+FORMAT_MARKS = "​‌‍‎‏‪‫‬‭‮﻿"
+
+
+def dates_in(c: Column) -> Column:
+    """All dates of a text as YYYY-MM-DD, in order: yyyy-M-d and d/M/yyyy (or d-M-yyyy); what is no date is left out."""
+    plain = fold_digits(F.translate(c, FORMAT_MARKS, ""))
+    found = F.regexp_extract_all(plain, F.lit(r"(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4})"), F.lit(1))
+    read = lambda x: F.coalesce(F.try_to_date(F.replace(x, F.lit("/"), F.lit("-")), "yyyy-M-d"), F.try_to_date(F.replace(x, F.lit("/"), F.lit("-")), "d-M-yyyy"))
+    return F.filter(F.transform(found, lambda x: F.date_format(read(x), "yyyy-MM-dd")), lambda x: x.isNotNull())
+
+
+def weekday_in(c: Column) -> Column:
+    """The first English weekday in a text, blank if there is none."""
+    return F.regexp_extract(c, r"\b((?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day)\b", 1)
+
+
+def compatible(c: Column) -> Column:
+    """Compatibility form with folded digits and single spaces; placeholders (dashes, dots) are blank. No built-in does NFKC."""
+    nfkc = F.pandas_udf(lambda texts: texts.str.normalize("NFKC"), StringType(), F.PandasUDFType.SCALAR)
+    plain = F.trim(F.regexp_replace(fold_digits(nfkc(c)), r"\s+", " "))
+    return F.when(plain.rlike(r"^[-–—._]*$"), "").otherwise(plain)
+
+
+def name_parts(c: Column, ranks: Sequence[str]) -> Column:
+    """(rank, name, time) of a name with a rank before it and a time in brackets behind it; blank if not there."""
+    before, behind = rf"^({'|'.join(ranks)})\s*/\s*", r"\s*\(([^()]*)\)$"
+    return F.struct(F.regexp_extract(c, before, 1).alias("rank"), F.regexp_replace(F.regexp_replace(c, before, ""), behind, "").alias("name"), clock(F.regexp_extract(c, behind, 1)).alias("time"))
