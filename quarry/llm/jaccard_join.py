@@ -406,12 +406,11 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return told.join(bounded(materialize(spread, "jaccard-spread")), "meeting").select("meeting", "node", "label", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
 
 
-def _large(rows: DataFrame, labels: DataFrame, sketches: DataFrame, nearest: int) -> DataFrame:
-    """(a, b, more): of large meetings (meeting, node), for each two components the nearest pairs that sketches allow.
+def _large(placed: DataFrame, sketches: DataFrame, nearest: int) -> DataFrame:
+    """(a, b, more): of large meetings, as _open() gives them, for each two components the nearest pairs that sketches allow.
 
     more: whether the two components have further such pairs in that meeting.
     """
-    placed = _open(rows, labels)
     dealt = placed.join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -459,9 +458,10 @@ def links(documents: DataFrame, described: DataFrame) -> DataFrame:
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     small = pairs.select("a", "b").join(bounded(tested), ["a", "b"], "left_anti")
     rows, nearest = apart.where("meeting is not null").select("meeting", F.col("a").alias("node")), NEAREST
-    sketches = materialize(_sketches(nodes, materialize(_open(rows, labels).select("node").distinct(), "jaccard-open"), documents), "jaccard-sketches")
+    placed = materialize(_open(rows, labels), "jaccard-open")
+    sketches = materialize(_sketches(nodes, placed.select("node").distinct(), documents), "jaccard-sketches")
     while True:
-        near = materialize(_large(rows, labels, sketches, nearest), "jaccard-near")
+        near = materialize(_large(placed, sketches, nearest), "jaccard-near")
         fresh = near.select("a", "b").distinct().join(bounded(tested), ["a", "b"], "left_anti")
         new = materialize(fresh if small is None else fresh.union(small).distinct(), "jaccard-pairs")
         labels = _joined(labels, materialize(_similar(new, nodes, documents), "jaccard-links"))
@@ -472,6 +472,7 @@ def links(documents: DataFrame, described: DataFrame) -> DataFrame:
             discard(nodes, apart, sketches, near)
             return labels
         tested, small, nearest = materialize(tested.union(new), "jaccard-tested"), None, nearest * 64
+        placed = materialize(_open(placed.select("meeting", "node"), labels), "jaccard-open")
 
 
 def _labelled(documents: DataFrame) -> DataFrame:
