@@ -407,7 +407,7 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _large(placed: DataFrame, sketches: DataFrame, nearest: int) -> DataFrame:
-    """(a, b, more): of large meetings, as _open() gives them, for each two components the nearest pairs that sketches allow.
+    """(a, b, more, meeting): of large meetings, as _open() gives them, for each two components the nearest pairs that sketches allow.
 
     more: whether the two components have further such pairs in that meeting.
     """
@@ -439,9 +439,9 @@ def _large(placed: DataFrame, sketches: DataFrame, nearest: int) -> DataFrame:
             x, y, many = x[order][kept], y[order][kept], many[kept]
         else:
             many = np.zeros(0, bool)
-        return pa.table([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(many)], names=["a", "b", "more"])
+        return pa.table([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(many), pa.array([key[0].as_py()] * len(x), pa.int64())], names=["a", "b", "more", "meeting"])
 
-    return dealt.select("meeting", "i", "j", "block", "node", "label", "n", "sketch").groupBy("meeting", "i", "j").applyInArrow(run, "a long, b long, more boolean")
+    return dealt.select("meeting", "i", "j", "block", "node", "label", "n", "sketch").groupBy("meeting", "i", "j").applyInArrow(run, "a long, b long, more boolean, meeting long")
 
 
 def links(documents: DataFrame, described: DataFrame) -> DataFrame:
@@ -468,11 +468,12 @@ def links(documents: DataFrame, described: DataFrame) -> DataFrame:
         more, of = near.where("more"), bounded(labels)
         for end in ("a", "b"):
             more = more.join(of.toDF(end, f"label_{end}"), end, "left")
-        if more.where(~F.coalesce("label_a", "a").eqNullSafe(F.coalesce("label_b", "b"))).isEmpty():
+        left = materialize(more.where(~F.coalesce("label_a", "a").eqNullSafe(F.coalesce("label_b", "b"))).select("meeting").distinct(), "jaccard-left")
+        if left.isEmpty():
             discard(nodes, apart, sketches, near)
             return labels
         tested, small, nearest = materialize(tested.union(new), "jaccard-tested"), None, nearest * 64
-        placed = materialize(_open(placed.select("meeting", "node"), labels), "jaccard-open")
+        placed = materialize(_open(placed.select("meeting", "node").join(bounded(left), "meeting", "left_semi"), labels), "jaccard-open")
 
 
 def _labelled(documents: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Language identification by rank-order profiles of letter n-grams.
 
-A language's profile is the order of its most frequent n-grams (one to three letters, words padded by a space) over
-all training documents. A document's own most frequent n-grams are compared by out-of-place distance: how far each
+A language's profile is the order of its most frequent n-grams over all training documents: one to three characters of
+the text in lower case, in which each run of anything but letters is one space, as are both ends. A document's own most frequent n-grams are compared by out-of-place distance: how far each
 stands from its place in the profile, the largest distance where the profile lacks it. The nearest profile wins.
 
 Nulls and ties: texts that are null or without letters get `und` and score 0; without any training document all do.
@@ -33,16 +33,18 @@ HELD = 200_000
 SLICE = 1 << 18
 
 _letters: list[np.ndarray] = []
+_SPACE = ord(" ")
 
 
 def _symbols(text: str) -> np.ndarray:
-    """Code points of the letters, lower-cased; one 0 for each run of anything else, one at each end; empty without letters."""
+    """Code points of the letters, lower-cased; one space for each run of anything else, one at each end; empty without letters."""
     if not _letters:
         _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
     kept = np.zeros(len(points) + 2, np.uint64)
     np.multiply(points, _letters[0][points], out=kept[1:-1], casting="unsafe")
     kept = kept[np.r_[True, (kept[1:] != 0) | (kept[:-1] != 0)]]
+    kept[kept == 0] = _SPACE  # a 0 at the end of an n-gram would make it the same as a shorter one
     return kept if len(kept) > 2 else kept[:0]
 
 
@@ -50,7 +52,7 @@ def ngrams(text: str) -> np.ndarray:
     """Codes of all one- to three-letter n-grams, 21 bits a letter."""
     s = _symbols(text)
     two = s[:-1] | s[1:] << np.uint64(21)
-    return np.concatenate([s[s != 0], two, two[:-1] | s[2:] << np.uint64(42)])
+    return np.concatenate([s[s != _SPACE], two, two[:-1] | s[2:] << np.uint64(42)])
 
 
 def _counted(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
