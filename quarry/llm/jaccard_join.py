@@ -473,7 +473,8 @@ def links(documents: DataFrame, described: DataFrame) -> DataFrame:
             discard(nodes, apart, sketches, near)
             return labels
         tested, small, nearest = materialize(tested.union(new), "jaccard-tested"), None, nearest * 64
-        placed = materialize(_open(placed.select("meeting", "node").join(bounded(left), "meeting", "left_semi"), labels), "jaccard-open")
+        placed = placed.join(bounded(left), "meeting", "left_semi").drop("label").join(bounded(labels), "node", "left")
+        placed = materialize(placed.select("meeting", "node", F.coalesce("label", "node").alias("label"), "block", "blocks"), "jaccard-open")
 
 
 def _labelled(documents: DataFrame) -> DataFrame:
