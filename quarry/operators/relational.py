@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import written
+
 
 def on_domain(domain: DataFrame, rows: DataFrame, keys: Sequence[str], defaults: dict) -> DataFrame:
     """Every row of the domain, with what rows have for it or else the defaults."""
@@ -59,10 +61,11 @@ def allocate_ids(rows: DataFrame, known: DataFrame, natural: Sequence[str], id_n
     """rows with the id of their natural key: the known one, or the next free numbers in order.
 
     New keys are numbered by range: counts by partition give each partition its first number, so no task sees all.
+    The dealt rows are written first, so that counts and numbers are of the same partitions even if a task runs again.
     """
     told = rows.join(known, list(natural), "left")
     fresh = told.where(F.col(id_name).isNull()).select(*natural, *[c for c in order if c not in natural]).distinct()
-    ordered = fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ordered = written(fresh.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "new-keys")
     counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     top = known.agg(F.coalesce(F.max(id_name), F.lit(0)).alias("_top"))

@@ -92,10 +92,10 @@ def fixed_domain_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.on_domain(slots, rows, ["k"], {"held": 0, "last_name": ""}).select("slot", "held", "last_name")
 
 
-@query("SELECT a.p_partkey AS part, b.brand FROM part a JOIN (SELECT DISTINCT lower(p_brand) AS brand FROM part) b ON 'post of ' || lower(a.p_brand) LIKE 'post of %' AND substr('post of ' || lower(a.p_brand), 9) = b.brand WHERE a.p_size < 10")
+@query("SELECT a.p_partkey AS part, b.brand FROM part a JOIN (SELECT DISTINCT lower(p_brand) AS brand FROM part) b ON 'post of ' || lower(a.p_brand) LIKE 'post of %' AND substr('post of ' || lower(a.p_brand), 9) = b.brand")
 def prefix_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts that begin with a prefix, joined by what follows it."""
-    posts = load(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("part"), F.concat(F.lit("post of "), F.lower("p_brand")).alias("post"))
+    posts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat(F.lit("post of "), F.lower("p_brand")).alias("post"))
     targets = load(spark, sf_dir, "part").select(F.lower("p_brand").alias("brand")).distinct()
     return relational.after_prefix(posts, targets, "post", "brand", "post of ").select("part", "brand")
 

@@ -21,7 +21,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH t AS ({_WORDS}) SELECT a.k AS a, b.k AS b, len(list_intersect(a.s, b.s)) AS common FROM t a JOIN t b ON a.k < b.k AND list_has_any(a.s, b.s)")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by the tokens they share."""
-    return matching.token_overlap(_tokens(spark, sf_dir), "k", "s", 1 << 30).withColumn("common", F.col("common").cast("bigint"))
+    return matching.token_overlap(_tokens(spark, sf_dir), "k", "s").withColumn("common", F.col("common").cast("bigint"))
 
 
 @query("WITH t AS (SELECT DISTINCT p_name AS s FROM part UNION SELECT DISTINCT replace(p_name, 'e', '') FROM part) SELECT a.s AS a, b.s AS b, CAST(levenshtein(a.s, b.s) AS INTEGER) AS edits FROM t a JOIN t b ON a.s < b.s AND levenshtein(a.s, b.s) <= 1")
@@ -40,10 +40,10 @@ def ordered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", text.ordered_subsequence(F.array(F.lit("small")), words).alias("starts"), text.ordered_subsequence(F.array(F.lit("ring")), words).alias("ends"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey - o_custkey % 5 + o_orderkey % 2 AS b FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT a AS x, b AS y FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT x AS node, x AS reach FROM n UNION SELECT r.node, n.y FROM r JOIN n ON n.x = r.reach) SELECT node, min(reach) AS root FROM r GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey - o_custkey % 5 + o_orderkey % 2 AS b FROM orders), n AS (SELECT a AS x, b AS y FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT x AS node, x AS reach FROM n UNION SELECT r.node, n.y FROM r JOIN n ON n.x = r.reach) SELECT node, min(reach) AS root FROM r GROUP BY node""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components with their least member."""
-    o = load(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    o = load(spark, sf_dir, "orders")
     return graph.components(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") - F.col("o_custkey") % 5 + F.col("o_orderkey") % 2).alias("b")))
 
 

@@ -52,12 +52,12 @@ def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey", F.get(found, F.lit(0)).alias("phone"), F.size(found).alias("n"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'AB ' || CAST(s_suppkey + 100 AS VARCHAR) WHEN 1 THEN 'CD ' || CAST(s_suppkey + 100 AS VARCHAR) ELSE CAST(s_suppkey + 100 AS VARCHAR) END AS plate FROM supplier WHERE s_suppkey < 9000")
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'AB ' || CAST(s_suppkey % 9000 + 100 AS VARCHAR) WHEN 1 THEN 'CD ' || CAST(s_suppkey % 9000 + 100 AS VARCHAR) ELSE CAST(s_suppkey % 9000 + 100 AS VARCHAR) END AS plate FROM supplier")
 def plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plates in several forms."""
-    n = (F.col("s_suppkey") + 100).cast("string")
+    n = (F.col("s_suppkey") % 9000 + 100).cast("string")
     said = F.when(F.col("s_suppkey") % 3 == 0, F.concat(n, F.lit("-ab"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("cd "), n)).otherwise(F.concat(F.lit("("), n, F.lit(")")))
-    return load(spark, sf_dir, "supplier").where("s_suppkey < 9000").select("s_suppkey", text.plate(said).alias("plate"))
+    return load(spark, sf_dir, "supplier").select("s_suppkey", text.plate(said).alias("plate"))
 
 
 @query("SELECT p_partkey, CAST(p_size + p_size % 4 AS INTEGER) AS total, CASE WHEN p_size % 4 = 0 THEN 'guards' ELSE 'drivers' END AS last_class FROM part")
