@@ -101,6 +101,70 @@ def test_islands_and_splits(spark):
     assert (1, D(2020, 1, 4), D(2020, 1, 5)) in values(temporal.split_on_days(df, busy, "p", "id"), "id", "s", "e")
 
 
+def _dated(seed, n):
+    """Rows (owner, key, first, last): one owner has most of them; some lack an owner or a bound, some are reversed."""
+    draw = random.Random(seed)
+    day = lambda: None if draw.random() < 0.05 else D(2019, 11, 1) + dt.timedelta(draw.randrange(160))
+    rows = []
+    for k in range(n):
+        first = day()
+        last = day() if draw.random() < 0.1 else first and first + dt.timedelta(draw.choice([0, 1, 5, 40, 90]))
+        rows.append((draw.choice([1, 1, 1, 2, 3, None]), k, first, last))
+    return rows
+
+
+def test_interval_joins_against_loops(spark):
+    held, asked = _dated(1, 60), _dated(2, 60)
+    intervals = spark.createDataFrame([*held, (1, 60, D(2020, 1, 1), D(9999, 12, 31))], "p int, id int, s date, e date")
+    points = spark.createDataFrame([(o, k, d) for o, k, d, _ in asked], "p int, at int, day date")
+    held = [*held, (1, 60, D(2020, 1, 1), D(9999, 12, 31))]
+    for open_end in (False, True):
+        inside = lambda d, s, e: d and s and s <= d and (d <= e if e else open_end)  # noqa: B023, E731
+        want = [(k, i) for o, k, d, _ in asked for p, i, s, e in held if o is not None and o == p and inside(d, s, e)]
+        assert want and values(temporal.point_in_interval(points, intervals, "p", "day", open_end=open_end), "at", "id") == sorted(want, key=str)
+    good = [r for r in held if r[0] is not None and r[2] and r[3] and r[2] <= r[3]]
+    want = [(a[1], b[1]) for a in good for b in good if a[0] == b[0] and a[1] < b[1] and a[2] <= b[3] and b[2] <= a[3]]
+    assert want and values(temporal.overlapping_pairs(intervals, "p", "id"), "key_a", "key_b") == sorted(want, key=str)
+    empty = intervals.limit(0)
+    assert temporal.point_in_interval(points, empty, "p", "day").isEmpty() and temporal.overlapping_pairs(empty, "p", "id").isEmpty()
+    assert temporal.point_in_interval(points.limit(0), intervals, "p", "day").isEmpty()
+
+
+def test_as_of_against_a_loop(spark):
+    held, asked = _dated(3, 80), _dated(4, 80)
+    versions = spark.createDataFrame([(o, k, d) for o, k, d, _ in held], "p int, v int, since date")
+    probes = spark.createDataFrame([(o, k, d) for o, k, d, _ in asked], "p int, at int, day date")
+    for fallback, pick in ((None, None), ("earliest", min), ("newest", max)):
+        want = []
+        for o, k, d, _ in asked:
+            known = [(s, v) for p, v, s, _ in held if o is not None and o == p and s] if d else []
+            before = [x for x in known if x[0] <= d]
+            found = max(before) if before else pick(known) if pick and known else (None, None)
+            want.append((k, found[1], found[0]))
+        assert values(temporal.as_of(probes, versions, "p", "day", "since", fallback), "at", "v", "since") == sorted(want, key=str)
+    assert temporal.as_of(probes, versions.limit(0), "p", "day", "since", "newest").where("v IS NULL").count() == 80
+
+
+def test_split_on_days_against_a_loop(spark):
+    held = [(o, k % 40, s, e) for o, k, s, e in _dated(5, 50)]
+    cuts = [(o, d) for o, _, d, _ in _dated(6, 40)]
+    intervals, busy = spark.createDataFrame(held, "p int, id int, s date, e date"), spark.createDataFrame(cuts, "p int, day date")
+    want, left = set(), {}
+    for o, k, s, e in held:
+        for n in range((e - s).days + 1 if s and e else 0):
+            if o is None or (o, s + dt.timedelta(n)) not in cuts:
+                left.setdefault((o, k), set()).add(s + dt.timedelta(n))
+    for (o, k), days in left.items():
+        for d in sorted(days):
+            if d - dt.timedelta(1) not in days:
+                last = d
+                while last + dt.timedelta(1) in days:
+                    last += dt.timedelta(1)
+                want.add((o, k, d, last, (last - d).days + 1))
+    got = values(temporal.split_on_days(intervals, busy, "p", "id"), "p", "id", "s", "e", "days")
+    assert got == sorted(want, key=str)
+
+
 def test_carry_forward_blank_cuts(spark):
     df = spark.createDataFrame([(1, D(2020, 1, 1), "x"), (1, D(2020, 1, 2), None), (1, D(2020, 1, 3), ""), (1, D(2020, 1, 4), None), (1, D(2020, 3, 1), None)], "p int, day date, f string")
     assert [r[1] for r in values(temporal.carry_forward(df, "p", "day", ["f"], 31), "day", "f_carried")] == ["x", "x", None, None, None]
