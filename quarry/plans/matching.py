@@ -62,11 +62,15 @@ def cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", "p_name")
-    a, b = p.where("id % 2 = 0").alias("a"), p.where("id % 2 = 1").alias("b")
-    both = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")))
-    score = F.when(F.col("a.p_name") == F.col("b.p_name"), F.lit(100.0)).otherwise(matching.similarity(F.col("a.p_name"), F.col("b.p_name")) * 10)
-    return both.select(F.concat_ws("/", "a.p_brand", "a.p_size").alias("grp"), F.col("a.id").alias("left"), F.col("b.id").alias("right"), score.alias("score"))
+    """Odd against even lines of an order, by the names of their parts; each two names are compared once."""
+    names = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("grp"), "l_linenumber", "l_partkey").join(names, "l_partkey")
+    a = lines.where("l_linenumber % 2 = 1").select("grp", F.col("l_linenumber").alias("left"), F.col("name").alias("x"))
+    b = lines.where("l_linenumber % 2 = 0").select("grp", F.col("l_linenumber").alias("right"), F.col("name").alias("y"))
+    both = a.join(b, "grp")
+    score = F.when(F.col("x") == F.col("y"), F.lit(100.0)).otherwise(matching.similarity(F.col("x"), F.col("y")) * 10)
+    told = both.select("x", "y").distinct().withColumn("score", score)
+    return both.join(told, ["x", "y"]).select("grp", "left", "right", "score")
 
 
 @query()

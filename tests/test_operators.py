@@ -53,6 +53,51 @@ def test_clusters_never_hold_two_of_one_time(spark, sf):
                 assert found[i] == found[j]
 
 
+def _clusters_by_loop(rows, least=0.84):
+    """(id, cluster) of rows (block, id, name, seen), every two names of a block compared."""
+    out = {}
+    for block in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == block), key=lambda r: r[1])
+        head, seen = {}, {}
+        for _, i, name, at in own:
+            head.setdefault(name, i)
+            seen.setdefault(head[name], set()).update(at)
+        root = {h: h for h in seen}
+        edges = [(-r, x, y) for m, x in head.items() for n, y in head.items() if x < y and (r := SequenceMatcher(None, m, n).ratio()) >= least]
+        for _, x, y in sorted(edges):
+            x, y = sorted((root[x], root[y]))
+            if x != y and not seen[x] & seen[y]:
+                seen[x] |= seen[y]
+                root = {h: x if c == y else c for h, c in root.items()}
+        out |= {i: root[head[name]] for _, i, name, _ in own}
+    return out
+
+
+def test_clusters_against_a_loop(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    rows = [(f"{r['p_brand']}", r["p_partkey"], f"{r['p_name']} {r['p_size'] % 5}", [r["p_partkey"] % 11]) for r in parts]
+    rows += [("k", 90001, "ab", [1]), ("k", 90002, "a", [2]), ("k", 90003, "", [3]), ("k", 90004, "abcdefg", [4]), ("k", 90005, "abcxdefg", [5]), ("k", 90006, "abcxdefgh", [4]), ("k", 90007, "abcxdefgh", [])]
+    df = spark.createDataFrame(rows, "block string, id long, name string, seen array<int>")
+    found = matching.constrained_clusters(df, "block", "id", "name", "seen")
+    assert {r["id"]: r["cluster"] for r in found.collect()} == _clusters_by_loop(rows)
+
+
+def test_clusters_of_nulls_and_no_rows(spark):
+    kind = "block string, id long, name string, seen array<int>"
+    df = spark.createDataFrame([(None, 1, "abc", [1]), (None, 2, "abc", [1]), ("k", 3, None, [1]), ("k", 4, "abc", None), ("k", 5, "abc", [2])], kind)
+    found = {r["id"]: r["cluster"] for r in matching.constrained_clusters(df, "block", "id", "name", "seen").collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+    assert matching.constrained_clusters(df.limit(0), "block", "id", "name", "seen").count() == 0
+
+
+def test_greedy_pairs_of_ties_repeats_and_nulls(spark):
+    kind = "g string, l int, r int, s double"
+    rows = [("a", x, y, 1.0) for x in range(5) for y in range(4)] + [("a", 1, 3, 2.0), ("b", 1, 1, None), ("b", 1, 2, 0.5), (None, 1, 1, 1.0)]
+    found = matching.greedy_pairs(spark.createDataFrame(rows, kind), "g", "l", "r", "s")
+    assert values(found, "g", "l", "r", "s") == sorted([("a", 1, 3, 2.0), ("a", 0, 0, 1.0), ("a", 2, 1, 1.0), ("a", 3, 2, 1.0), ("b", 1, 2, 0.5)], key=str)
+    assert matching.greedy_pairs(spark.createDataFrame([], kind), "g", "l", "r", "s").count() == 0
+
+
 def test_similarity(spark):
     df = spark.createDataFrame([("ab", "abc"), ("abcd", "xabcd"), ("abc", "xyz"), ("", "q")], "a string, b string")
     got = [r[0] for r in df.select(matching.similarity(F.col("a"), F.col("b"))).collect()]
