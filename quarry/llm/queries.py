@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, html_extract, jaccard_join, langid, media, packing, quality, substring_dedup, token_files
+from quarry.llm import chat, decontaminate, html_extract, jaccard_join, langid, media, packing, prefix_trie, quality, resampling, simhash, substring_dedup, token_files
 from quarry.llm.common import fold, materialize, table
 
 
@@ -58,5 +58,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("*", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_jaccard_join, op4_language_id, op5_token_files, op6_quality, op7_packing, op8_media_columns, op9_substring_dedup, op10_html_extraction)}
-ORACLES = {"op1_decontamination": decontaminate.SQL, "op2_chat_formatting": chat.SQL}
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.each_row(resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_jaccard_join, op4_language_id, op5_token_files, op6_quality, op7_packing, op8_media_columns, op9_substring_dedup, op10_html_extraction, op11_simhash_dedup, op12_importance_resampling, op13_prefix_trie)}
+ORACLES = {"op1_decontamination": decontaminate.SQL, "op2_chat_formatting": chat.SQL, "op12_importance_resampling": resampling.SQL, "op13_prefix_trie": prefix_trie.SQL}
