@@ -9,26 +9,26 @@ and the like go by their elements. Where a page has an <article> or <main>, line
 
 Nulls and ties: a null page is empty and gives an empty text; pages without a host pair among themselves; of equally
 near neighbours the earlier counts; a page that shares most of its content (by _weight) with a neighbour is a near copy
-of it, and keeps all lines if it is one of both neighbours. Repeated rows
-give one row each. Unclosed and stray tags, cut-off pages and unknown references are taken as a browser would. Pages
+of it, and one with the same url another version of it: with such neighbours alone it keeps all lines. Rows with one url and html are one page to its neighbours;
+each gives a row, and all have the same text. Parts that are hidden by attribute or style, and reader comments, are no
+text. Unclosed and stray tags, cut-off pages and unknown references are taken as a browser would. Pages
 of any length are used whole. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from itertools import pairwise
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import map_arrow
+from quarry.llm.common import bounded, map_arrow, materialize
 
 #: Elements that end a line of text.
 BLOCKS = frozenset(
@@ -36,17 +36,17 @@ BLOCKS = frozenset(
 )
 #: Elements that are not text of the page's article.
 DROPPED = frozenset("aside button dialog footer form head iframe input menu nav noscript object script select style svg template textarea title".split())
-#: The same, by class, id or role, as a whole: has-sidebar and ad-free are other names.
+#: The same, by class, id or role. A name counts if its words are these and STRUCTURE alone: comment-thread and menu-main-container do, has-sidebar and ad-free do not.
 DROPPED_NAMES = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus login menu modal nav navbar navigation newsletter notice popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget "
-    "ad-banner ad-block ad-container ad-slot ad-unit ad-wrapper breadcrumb-nav comment-form comment-list comments-area comments-section cookie-banner cookie-bar cookie-consent cookie-notice left-sidebar login-form "
-    "main-menu main-nav main-navigation nav-bar nav-menu newsletter-form newsletter-signup page-sidebar post-comments related-articles related-posts related-stories right-sidebar search-bar search-box search-form "
-    "share-bar share-buttons share-links side-bar sidebar-left sidebar-right site-menu site-nav site-navigation social-bar social-buttons social-links social-share top-menu top-nav user-comments".split()
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment commentlist comments consent contentinfo cookie cookies disqus login menu modal nav navbar navigation newsletter notice popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
+)
+STRUCTURE = frozenset(
+    "area articles aside bar block body bottom box buttons column container content form group header footer headline holder icons inner item items left lg links list main md menu mobile nav outer page panel posts primary right row secondary section side site slot sm stories thread title top unit user wrap wrapper".split()
 )
 #: Elements that hold the text and so go by no name.
 KEPT = frozenset("article body html main".split())
 #: Names and elements that drop what stands outside an article only.
-OUTER_NAMES = frozenset("footer header masthead page-footer page-header site-footer site-header".split())
+OUTER_NAMES = frozenset("footer header masthead".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE_CLOSED = frozenset("p li dt dd option".split())
 IN_MAIN, IN_ARTICLE = 1, 2
@@ -54,13 +54,26 @@ PLACES = {"main": IN_MAIN, "article": IN_ARTICLE}
 ROWS = 200
 #: What pages are ordered by; copies of a row are alike in all of it.
 ORDER = ["host", "path", "page_id", "hash"]
-#: Keys that are sampled for each range.
-SAMPLED = 100
+#: Keys that are sampled for each range, and bytes of pages that a range has about.
+SAMPLED, RANGE_BYTES = 100, 64 << 20
+
+
+_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def _names(attributes: list) -> list[set[str]]:
+    """The words of each name that an element goes by."""
+    found = " ".join(v or "" for k, v in attributes if k in ("class", "id", "role"))
+    return [set(filter(None, re.split(r"[-_]+", _CAMEL.sub("-", name).lower()))) for name in found.split()]
+
+
+def _goes_by(names: list[set[str]], wanted: frozenset[str]) -> bool:
+    return any(words & wanted and words <= wanted | STRUCTURE for words in names)
 
 
-def _names(attributes: list) -> set[str]:
-    found = " ".join(v or "" for k, v in attributes if k in ("class", "id", "role")).lower()
-    return set(found.replace("_", "-").split())
+def _hidden(attributes: list) -> bool:
+    return any(k == "hidden" or k == "style" and _HIDDEN_STYLE.search(v or "") for k, v in attributes)
 
 
 class Page(HTMLParser):
@@ -92,8 +105,9 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         place, dropped = self._state()
-        names = set() if tag in KEPT else _names(attrs)
-        drop = tag in DROPPED or bool(names & DROPPED_NAMES) or not place and (tag == "header" or bool(names & OUTER_NAMES))
+        names = [] if tag in KEPT else _names(attrs)
+        drop = tag in DROPPED or _goes_by(names, DROPPED_NAMES) or not place and (tag == "header" or _goes_by(names, OUTER_NAMES))
+        drop = drop or tag not in ("body", "html") and _hidden(attrs)
         inside = max(place, PLACES.get(tag, 0))
         # only what changes the state, or can nest in it, needs to be remembered
         if drop or inside != place or tag in BLOCKS:
@@ -114,52 +128,63 @@ class Page(HTMLParser):
         self._text.append(data)
 
 
-#: Lines that recur more often than this in a page's neighbour are matched only next to others that match.
-RECURRING = 64
+#: Bits of a table of alignment that are kept at once, 64 MB; a larger one is halved.
+TABLE_BITS = 1 << 29
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence with b, in RECURRING steps for each line of a at most.
-
-    It is a longest one unless lines recur more often than RECURRING in b. Those are matched from both ends of each gap
-    between the other matches, so what equal lines there are in one piece is found, however many.
-    """
-    often = Counter(b)
-    rare = [[i for i, line in enumerate(x) if 0 < often[line] <= RECURRING] for x in (a, b)]
-    pairs = [(rare[0][i], rare[1][k]) for i, k in _aligned([a[i] for i in rare[0]], [b[k] for k in rare[1]])]
-    found = {i for i, _ in pairs}
-    for (i, k), (i_end, k_end) in pairwise([(-1, -1), *reversed(pairs), (len(a), len(b))]):
-        i, k = i + 1, k + 1
-        while i < i_end and k < k_end and a[i] == b[k]:
-            found.add(i)
-            i, k = i + 1, k + 1
-        while i < i_end and k < k_end and a[i_end - 1] == b[k_end - 1]:
-            i_end, k_end = i_end - 1, k_end - 1
-            found.add(i_end)
-    return found
-
-
-def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of positions of a longest common subsequence, last first."""
-    where: dict[str, list[int]] = {}
-    for k in range(len(b) - 1, -1, -1):
-        where.setdefault(b[k], []).append(k)
-    ends: list[int] = []  # ends[n]: least position in b at which n + 1 matches can end
-    links: list[tuple] = []
-    for i, line in enumerate(a):
-        for k in where.get(line, ()):
-            n = bisect_left(ends, k)
-            link = (i, k, links[n - 1] if n else None)
-            if n == len(ends):
-                ends.append(k)
-                links.append(link)
-            elif k < ends[n]:
-                ends[n], links[n] = k, link
-    found, link = [], links[-1] if links else None
-    while link:
-        found.append(link[:2])
-        link = link[2]
-    return found
+    """Positions in a of a longest common subsequence with b."""
+    start, end = 0, min(len(a), len(b))
+    while start < end and a[start] == b[start]:
+        start += 1
+    back = 0
+    while back < end - start and a[-1 - back] == b[-1 - back]:
+        back += 1
+    found = {*range(start), *range(len(a) - back, len(a))}
+    theirs, mine = set(b[start : len(b) - back]), set(a[start : len(a) - back])
+    left = [i for i in range(start, len(a) - back) if a[i] in theirs]
+    return found.union(left[k] for k in _aligned([a[i] for i in left], [x for x in b[start : len(b) - back] if x in mine]))
+
+
+def _rows(a: list[str], b: list[str], keep: bool) -> list[int]:
+    """Rows of the table of alignment lengths, as bits: bit j is 0 where b[: j + 1] has a longer alignment than b[:j]."""
+    places: dict[str, int] = {}
+    for j, line in enumerate(b):
+        places[line] = places.get(line, 0) | 1 << j
+    row, whole, rows = (1 << len(b)) - 1, (1 << len(b)) - 1, []
+    for line in a:
+        met = row & places.get(line, 0)
+        row = (row + met | row - met) & whole
+        if keep:
+            rows.append(row)
+    return rows if keep else [row]
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest alignments of a with b[:0], b[:1] and so on."""
+    row = _rows(a, b, False)[0]
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def _aligned(a: list[str], b: list[str]) -> list[int]:
+    """Positions in a of a longest common subsequence with b: each line of a costs len(b) / 64 steps, however lines recur."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        at = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return _aligned(a[:half], b[:at]) + [half + k for k in _aligned(a[half:], b[at:])]
+    rows, i, j, found = _rows(a, b, True), len(a), len(b), []
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> j - 1 & 1:
+                found.append(i)
+                j -= 1
+    return found[::-1]
 
 
 def _weight(lines: list[tuple[str, int, bool]]) -> int:
@@ -167,11 +192,15 @@ def _weight(lines: list[tuple[str, int, bool]]) -> int:
     return sum(len(text) ** 2 for text, _, _ in lines)
 
 
+def _content(lines: list[tuple[str, int, bool]]) -> list[tuple[int, tuple[str, int, bool]]]:
+    """Lines with their places: those of <article> and <main> if there are any, without dropped ones."""
+    content = [(k, line) for k, line in enumerate(lines) if not line[2]]
+    return [(k, line) for k, line in content if line[1]] if any(line[1] for _, line in content) else content
+
+
 def main_text(lines: list[tuple[str, int, bool]], *neighbours: list[tuple[str, int, bool]]) -> str:
     """Text without the lines shared with the first neighbour that is no near copy."""
-    content = [(k, line) for k, line in enumerate(lines) if not line[2]]
-    if any(place for _, (_, place, _) in content):
-        content = [(k, line) for k, line in content if line[1]]
+    content = _content(lines)
     for neighbour in neighbours:
         shared = shared_lines([t for t, _, _ in lines], [t for t, _, _ in neighbour])
         if 2 * _weight([line for k, line in content if k in shared]) <= _weight([line for _, line in content]):
@@ -183,8 +212,9 @@ def _ranged(pages: DataFrame) -> DataFrame:
     """pages with `range`, `own`: ordered by ORDER, each range has besides its own pages those next to it."""
     spark = pages.sparkSession
     keys = pages.select(F.struct(*ORDER).alias("key"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = SAMPLED * n / max(1, keys.count())
+    rows, size = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
+    share = SAMPLED * n / max(1, rows)
     sample = sorted({tuple(r["key"]) for r in (keys.sample(share, seed=1) if share < 1 else keys).collect()}, key=lambda k: [(x is not None, x) for x in k])
     cuts = [sample[len(sample) * k // n] for k in range(1, n)] if len(sample) >= n else sample[1:]
     kinds = [pages.schema[c].dataType for c in ORDER]
@@ -202,38 +232,72 @@ def _ranged(pages: DataFrame) -> DataFrame:
     return dealt.withColumn("own", F.lit(True)).unionByName(guests.withColumn("own", F.lit(False)))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of every page."""
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    keyed = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    ranged = _ranged(keyed.withColumn("hash", F.xxhash64("url", "html")))
-    ordered = ranged.repartitionByRange("range").sortWithinPartitions("range", *ORDER, "own")
+def _texts(pages: DataFrame) -> DataFrame:
+    """(page_id, url, hash, text) of pages with ORDER's columns and grouped, under one id for each url and html.
+
+    Rows that are alike in everything follow each other and are one page; it gives one row if it is grouped, else as
+    many as there were.
+    """
+    ordered = _ranged(pages).repartitionByRange("range").sortWithinPartitions("range", *ORDER, "own")
+    columns = ["page_id", "url", "hash", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = now = None
+        times = 0
 
         def near(a: tuple | None, b: tuple | None) -> int:
-            return -1 if a is None or b is None or a[2:4] != b[2:4] else len(commonprefix((a[4], b[4])))
+            return -1 if a is None or b is None or a[3:5] != b[3:5] or a[1] == b[1] else len(commonprefix((a[5], b[5])))
 
         def told(before: tuple | None, now: tuple, after: tuple | None) -> tuple:
             with_before, with_after = near(before, now), near(now, after)
             beside = [(with_before, before), (with_after, after)] if with_before >= with_after else [(with_after, after), (with_before, before)]
-            return now[0], now[1], main_text(now[5], *(other[5] for n, other in beside if n >= 0))
+            return *now[:3], main_text(now[6], *(other[6] for n, other in beside if n >= 0))
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, pa.string(), pa.int64(), pa.string()), strict=True)], columns)
 
         kind = pa.int64()
         for batch in batches:
             kind = batch.column("page_id").type
             for at in range(0, batch.num_rows, ROWS):
                 out = []
-                for page_id, url, html, own_host, own_path, at_range, own in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True):
-                    after = (page_id, url, at_range, own_host, own_path, Page(html or "").lines, own)
-                    if now and now[6]:
-                        out.append(told(before, now, after))
-                    before, now = now, after
+                for page_id, url, html, hash_, own_host, own_path, at_range, own, grouped in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True):
+                    if now and (page_id, url, hash_, at_range) == now[:4] and own == now[7]:
+                        times += not grouped
+                        continue
+                    after = (page_id, url, hash_, at_range, own_host, own_path, Page(html or "").lines, own)
+                    if now and now[7]:
+                        text = told(before, now, after)
+                        out += [text] * min(times, ROWS)
+                        while (times := times - ROWS) > 0:
+                            yield batch_of([text] * min(times, ROWS))
+                    before, now, times = now, after, 1
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (kind, pa.string(), pa.string()), strict=True)], ["page_id", "url", "text"])
-        if now and now[6]:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(told(before, now, None), (kind, pa.string(), pa.string()), strict=True)], ["page_id", "url", "text"])
+                    yield batch_of(out)
+        if now and now[7]:
+            text = told(before, now, None)
+            for done in range(0, times, ROWS):
+                yield batch_of([text] * min(ROWS, times - done))
+
+    return map_arrow(ordered.select("page_id", "url", "html", "hash", "host", "path", "range", "own", "grouped"), run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, hash long, text string")
 
-    return map_arrow(ordered.select("page_id", "url", "html", "host", "path", "range", "own"), run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+
+def extract(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text) of every page.
+
+    Rows with one url and html are one page to its neighbours, that with the least id, and all have its text.
+    """
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    keyed = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.xxhash64("url", "html").alias("hash"))
+    # the ids of pages that stand under several ids; equal rows under one id are counted where they meet
+    groups = keyed.groupBy("url", "hash").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id"), F.count("page_id").alias("named"), F.count("*").alias("rows"))
+    several = materialize(groups.where("first_id < last_id OR named BETWEEN 1 AND rows - 1").select(F.col("url").alias("_url"), F.col("hash").alias("_hash"), "first_id"), "page-groups")
+    if several.isEmpty():
+        return _texts(keyed.withColumn("grouped", F.lit(False))).select("page_id", "url", "text")
+    here = F.col("url").eqNullSafe(F.col("_url")) & (F.col("hash") == F.col("_hash"))
+    marked = keyed.join(bounded(several), here, "left").withColumn("grouped", F.col("_hash").isNotNull())
+    ids = materialize(marked.where("grouped").select("_url", "_hash", F.col("page_id").alias("_page_id")), "page-ids")
+    texts = _texts(marked.where(~F.col("grouped") | (F.col("page_id") == F.col("first_id"))).select(*keyed.columns, "grouped"))
+    found = texts.join(bounded(ids), here, "left")
+    return found.select(F.when(F.col("_hash").isNotNull(), F.col("_page_id")).otherwise(F.col("page_id")).alias("page_id"), "url", "text")

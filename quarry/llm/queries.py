@@ -64,7 +64,8 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.each_row(resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,90 +1,162 @@
-"""Importance resampling towards the word distribution of a target, with DataFrame functions.
+"""Importance resampling towards the word distribution of a target.
 
-A dictionary of the distinct features, runs of consecutive words, is counted over the whole corpus and the target. Each
-distinct feature is hashed once, buckets sum the counts of their features, and the gain of a bucket, the logarithm of
-how much likelier the target is to hold it, goes back to the dictionary. The counts of features within documents are
-then joined with their gains and summed. Gumbel noise drawn from the id turns weights into scores, of which the
-greatest are drawn without replacement.
+Features are runs of consecutive words. Each distinct feature is brought together from the whole corpus and hashed once,
+buckets sum the counts of their features, and the gain of a bucket, the logarithm of how much likelier the target is to
+hold it, goes back to the documents that hold the bucket's features. Gumbel noise drawn from the id turns weights into
+scores, of which the greatest are drawn without replacement.
 
-Features that make up a HOT-th part of all or more are at most HOT many, whatever the corpus is, and are broadcast;
-all others, of which none can be in many rows, meet their gains in a shuffled join.
+Frequent features never meet in a shuffle. Each chunk of the corpus names those that make up a SHARE-th part of it or
+more; what none names makes up less of the whole. The HOT most frequent of these are hashed once on the driver, and their
+counts stay with their documents. All other features go, as rows of feature, document and count, to the task that hashes
+them, which drops the string.
 
 Nulls and ties: a null or empty text has no words, weighs 0 and is not drawn. A null id draws the noise of the empty
-string and comes last among equal scores. Rows with the same id and text get the same score and ranks in a row; one row
-is returned for each input row. Empty tables give empty results; an empty target gives no feature an advantage beyond
-its smoothing. Columns other than the id and text are not read, so their names do not matter.
+string and comes last among equal scores. Every row is judged for itself; rows with the same id and text get the same
+score and ranks in a row. Empty tables give empty results; an empty target gives no feature an advantage beyond its
+smoothing. Columns other than the id and text are not read, so their names do not matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import LOWER, UPPER, bounded, discard, materialize
-from quarry.llm.decontaminate import words
+from quarry.llm.common import LOWER, UPPER, bounded, discard, map_arrow, materialize, slices
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 2024, 10, 20
-#: Features that make up this part of all occurrences or more are broadcast: at most so many, some 10 MB.
-HOT = 100_000
-#: Repeated rows are spelt out so many at a time.
-COPIES = 10_000
-
-KEY = ["doc_id", "hash_1", "hash_2"]
-
-
-def _keyed(documents: DataFrame) -> DataFrame:
-    """(doc_id, hash_1, hash_2, words): an id and 128 bits of hash stand for a row."""
-    return documents.select("doc_id", F.xxhash64("text").alias("hash_1"), F.xxhash64(F.lit(1), "text").alias("hash_2"), words(F.col("text")).alias("words"))
-
-
-def _features(split: Column, lo: int, hi: int) -> Column:
-    """All runs of lo to hi words of an array, joined by a space."""
-    if lo == hi == 1:
-        return split
-    runs = [
-        F.when(F.size(split) >= n, F.transform(F.sequence(F.lit(1), F.size(split) - n + 1), lambda i: F.array_join(F.slice(split, i, n), " "))).otherwise(F.array().cast("array<string>"))  # noqa: B023
-        for n in range(lo, hi + 1)
-    ]
-    return F.concat(*runs)
-
-
-def dictionary(documents: DataFrame, target: DataFrame, lo: int = 1, hi: int = 1, buckets: int = BUCKETS) -> DataFrame:
-    """(feature, n_source, n_target, gain) of every distinct feature; the table is written."""
-
-    def counted(df: DataFrame, source: int) -> DataFrame:
-        each = df.select(words(F.col("text")).alias("words")).select(F.explode(_features(F.col("words"), lo, hi)).alias("feature"))
-        n = F.count("*")
-        return each.groupBy("feature").agg((n * source).alias("n_source"), (n * (1 - source)).alias("n_target"))
-
-    both = counted(documents, 1).unionByName(counted(target, 0)).groupBy("feature").agg(F.sum("n_source").alias("n_source"), F.sum("n_target").alias("n_target"))
-    found = materialize(both.withColumn("bucket", F.crc32(F.col("feature").cast("binary")) % buckets), "importance-features")
-    sums = found.groupBy("bucket").agg(F.sum("n_source").alias("s"), F.sum("n_target").alias("t"))
-    source, wanted = (x or 0 for x in sums.agg(F.sum("s"), F.sum("t")).first())
-    ratio = ((F.col("t") + 1).cast("double") * F.lit(float(source + buckets))) / ((F.col("s") + 1).cast("double") * F.lit(float(wanted + buckets)))
-    gains = sums.select("bucket", F.floor(1000 * F.log(ratio)).cast("bigint").alias("gain"))
-    told = materialize(found.join(F.broadcast(gains), "bucket").drop("bucket"), "importance-dictionary")  # a row for each bucket at most
-    discard(found)
+#: The part of a chunk that a feature makes up to be named, features of a chunk, and features that are kept as frequent.
+SHARE, CHUNK, HOT = 10_000, 300_000, 100_000
+#: Bytes of text that are split into words at a time, rows that a task hands on at a time.
+PIECE, ROWS = 1 << 20, 50_000
+
+#: A byte as it stands in words: A-Z as a-z; what is neither letter, digit nor beyond ASCII is a blank.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def counts(text: str | None, lo: int, hi: int) -> tuple[int, Counter]:
+    """How many words a text has, and its features, as UTF-8, with their counts."""
+    data, at, n, before, found = (text or "").encode().translate(_FOLD), 0, 0, [], Counter()
+    while at < len(data):
+        cut = data.find(b" ", at + PIECE)
+        end = cut if cut >= 0 else len(data)
+        own = data[at:end].split()
+        n, at = n + len(own), end
+        for size in range(lo, hi + 1):
+            words = before[max(0, len(before) - size + 1) :] + own if size > 1 else own
+            found.update(words if size == 1 else (b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)))
+        before = (before + own)[-(hi - 1) :] if hi > 1 else []
+    return n, found
+
+
+def frequent(documents: DataFrame, lo: int, hi: int) -> dict[bytes, int]:
+    """The most frequent features, HOT at most, with crc32: all that make up a SHARE-th part of the corpus are among those named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def named() -> pa.RecordBatch:
+            least = sum(chunk.values()) / SHARE
+            kept = [(f, n) for f, n in chunk.items() if n >= least and n > 1]
+            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["feature", "n"])
+
+        chunk: Counter = Counter()
+        for batch in batches:
+            for cut in slices(batch):
+                for text in cut.column("text"):
+                    chunk.update(counts(text.as_py(), lo, hi)[1])
+                if len(chunk) > CHUNK:
+                    yield named()
+                    chunk.clear()
+        yield named()
+
+    found = map_arrow(documents.select("text"), run, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return {bytes(r["feature"]): zlib.crc32(r["feature"]) for r in found.orderBy(F.desc("n"), "feature").limit(HOT).collect()}
+
+
+def dealt(documents: DataFrame, hot: dict[bytes, int], lo: int, hi: int, buckets: int) -> DataFrame:
+    """Rows of two kinds: (row, bucket, n), a rare feature of a document, and one with bucket null for each document.
+
+    The latter has doc_id, text_hash, n_words, n_features, and its frequent features by bucket: hot_buckets, hot_counts.
+    """
+    known = documents.sparkSession.sparkContext.broadcast({f: h % buckets for f, h in hot.items()})
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    place = "row long, doc_id " + kind + ", text_hash long, n_words long, n_features long, hot_buckets array<int>, hot_counts array<long>"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = pa.list_(pa.int32()), pa.list_(pa.int64())
+
+        def documents_of(cut: pa.RecordBatch, told: list[tuple]) -> pa.RecordBatch:
+            n_words, n_features, own, of = zip(*told, strict=True)
+            none = pa.nulls(len(told), pa.binary()), pa.nulls(len(told), pa.int64())
+            return pa.RecordBatch.from_arrays([none[0], none[1], cut.column("row"), cut.column("doc_id"), cut.column("text_hash"), pa.array(n_words, pa.int64()), pa.array(n_features, pa.int64()), pa.array(own, ints[0]), pa.array(of, ints[1])], names)
+
+        def features_of(rows: list[int], features: list[bytes], ns: list[int]) -> pa.RecordBatch:
+            null = [pa.nulls(len(rows), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), *ints)]
+            return pa.RecordBatch.from_arrays([pa.array(features, pa.binary()), pa.array(ns, pa.int64()), pa.array(rows, pa.int64()), *null], names)
+
+        for batch in batches:
+            id_type = batch.schema.field("doc_id").type
+            for cut in slices(batch):
+                told, rows, features, ns = [], [], [], []
+                for row, text in zip(cut.column("row").to_pylist(), cut.column("text"), strict=True):
+                    n_words, found = counts(text.as_py(), lo, hi)
+                    sums: Counter = Counter()
+                    for feature, n in found.items():
+                        bucket = known.value.get(feature)
+                        if bucket is None:
+                            rows.append(row)
+                            features.append(feature)
+                            ns.append(n)
+                        else:
+                            sums[bucket] += n
+                    told.append((n_words, sum(found.values()), list(sums), list(sums.values())))
+                    if len(rows) >= ROWS:
+                        yield features_of(rows, features, ns)
+                        rows, features, ns = [], [], []
+                if told:
+                    yield documents_of(cut, told)
+                if rows:
+                    yield features_of(rows, features, ns)
+
+    names = ["feature", "n", *(c.split()[0] for c in place.split(", "))]
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = map_arrow(docs, split, "feature binary, n long, " + place)
+    # rows of documents are dealt by row, those of features by feature, in order, so that each string is hashed once
+    together = rows.repartition(F.coalesce("feature", F.col("row").cast("string").cast("binary"))).sortWithinPartitions("feature")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("feature").dictionary_encode()
+            codes = pa.array([None if f is None else zlib.crc32(f) % buckets for f in own.dictionary.to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([codes.take(own.indices), *batch.columns[1:]], ["bucket", *names[1:]])
+
+    return map_arrow(together, hashed, "bucket int, n long, " + place)
+
+
+def weights(documents: DataFrame, target: DataFrame, lo: int = 1, hi: int = 1, buckets: int = BUCKETS) -> DataFrame:
+    """(row, doc_id, text_hash, n_words, n_features, weight) of each row of documents; the table is written."""
+    rows = materialize(dealt(documents, frequent(documents, lo, hi), lo, hi, buckets), "importance-rows")
+    wanted = dealt(target.select(F.lit(0).alias("doc_id"), "text"), {}, lo, hi, buckets).where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("t"))
+    frequent_ones = rows.where("bucket IS NULL").select(F.explode(F.arrays_zip("hot_buckets", "hot_counts")).alias("h")).select(F.col("h.hot_buckets").alias("bucket"), F.col("h.hot_counts").alias("n"))
+    source = rows.where("bucket IS NOT NULL").select("bucket", "n").unionByName(frequent_ones).groupBy("bucket").agg(F.sum("n").alias("s"))
+    sums = materialize(source.join(wanted, "bucket", "full_outer").select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")), "importance-buckets")
+    all_source, all_wanted = (x or 0 for x in sums.agg(F.sum("s"), F.sum("t")).first())
+    ratio = ((F.col("t") + 1).cast("double") * F.lit(float(all_source + buckets))) / ((F.col("s") + 1).cast("double") * F.lit(float(all_wanted + buckets)))
+    gains = F.broadcast(sums.select("bucket", F.floor(1000 * F.log(ratio)).cast("bigint").alias("gain")))  # a row for each bucket at most
+    own = rows.where("bucket IS NULL").select("row", F.explode(F.arrays_zip("hot_buckets", "hot_counts")).alias("h")).select("row", F.col("h.hot_buckets").alias("bucket"), F.col("h.hot_counts").alias("n"))
+    each = rows.where("bucket IS NOT NULL").select("row", "bucket", "n").unionByName(own).join(gains, "bucket")
+    named = rows.where("bucket IS NULL").select("row", "doc_id", "text_hash", "n_words", "n_features", F.lit(0).cast("long").alias("weight"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in named.dtypes[1:5]]
+    both = named.unionByName(each.select("row", *none, (F.col("n") * F.col("gain")).alias("weight")))
+    found = both.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "text_hash", "n_words", "n_features")], F.sum("weight").alias("weight"))
+    told = materialize(found, "importance-weights")
+    discard(rows, sums)
     return told
 
 
-def weights(documents: DataFrame, gains: DataFrame, lo: int = 1, hi: int = 1) -> DataFrame:
-    """(doc_id, hash_1, hash_2, copies, n_words, n_features, weight) of each distinct row; the dictionary should be written."""
-    total = gains.agg(F.sum("n_source")).first()[0] or 0
-    frequent = F.col("n_source") * HOT >= total
-    hot = F.broadcast(gains.where(frequent & (F.col("n_source") > 0)).select("feature", "gain"))
-    split = _keyed(documents).select(*KEY, F.size("words").alias("n_words"), F.posexplode_outer(_features(F.col("words"), lo, hi)).alias("at", "feature"))
-    met = split.join(hot, "feature", "left").withColumn("rare", F.when(F.col("gain").isNull(), F.col("feature")))
-    counts = met.groupBy(*KEY, "rare").agg(
-        F.max("n_words").alias("n_words"), F.count("feature").alias("n"), F.coalesce(F.sum("gain"), F.lit(0)).alias("weight"), F.count_if(F.coalesce(F.col("at"), F.lit(0)) == 0).alias("copies")
-    )
-    counts = materialize(counts, "importance-counts")
-    rare = counts.where("rare is not null").join(gains.where(~frequent).select(F.col("feature").alias("rare"), "gain"), "rare").withColumn("weight", F.col("n") * F.col("gain")).drop("gain")
-    both = counts.where("rare is null").unionByName(rare)
-    sums = both.groupBy(*KEY).agg(F.sum("copies").alias("copies"), F.max("n_words").cast("bigint").alias("n_words"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
-    # all copies of a row hold and weigh the same, so both divisions are exact
-    return sums.select(*KEY, "copies", "n_words", F.expr("n div copies").alias("n_features"), F.expr("weight div copies").alias("weight"))
-
-
 def scores(weighted: DataFrame, seed: int = SEED) -> DataFrame:
     """weighted with the column score: weight and Gumbel noise in thousandths, drawn from the id."""
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -94,63 +166,45 @@ def scores(weighted: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def ranked(scored: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """scored, which should be written, with the columns rank, of a row's first copy, and drawn: how many copies are drawn.
+    """scored with the column rank of those drawn: the given share of rows with so many words, the greatest scores first.
 
     Rows are sorted in ranges and counted by range, so no task sees more than its range.
     """
-    order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("hash_1"), F.asc("hash_2")]
+    order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("row")]
     able = scored.where(F.col("n_words") >= least_words)
     ranges = materialize(able.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "importance-ranges")
-    sizes = ranges.groupBy("part").agg(F.sum("copies").alias("n")).orderBy("part").collect()  # a row for each range
     starts, at = [], 0
-    for part, n in sizes:
+    for part, n in ranges.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each range
         starts.append((part, at))
         at += n
-    most = at * percent // 100
-    before = scored.sparkSession.createDataFrame(starts, "part int, before bigint")
-    running = F.sum("copies").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    placed = ranges.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.coalesce(running, F.lit(0)) + 1)
-    drawn = F.greatest(F.lit(0), F.least(F.col("copies"), most - F.col("rank") + 1)).cast("bigint")
-    rest = scored.where(F.col("n_words") < least_words).withColumns({"rank": F.lit(None).cast("bigint"), "drawn": F.lit(0).cast("bigint")})
-    return placed.withColumn("drawn", drawn).select(*rest.columns).unionByName(rest)
+    before = F.broadcast(scored.sparkSession.createDataFrame(starts, "part int, before bigint"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("before")
+    placed = ranges.join(before, "part").withColumn("rank", place)
+    rest = scored.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("bigint"))
+    return placed.withColumn("rank", F.when(F.col("rank") <= at * percent // 100, F.col("rank"))).select(*rest.columns).unionByName(rest)
 
 
 def resample(documents: DataFrame, target: DataFrame, lo: int = 1, hi: int = 1, buckets: int = BUCKETS, seed: int = SEED, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, hash_1, hash_2, copies, n_words, n_features, weight, score, rank, drawn) of each distinct row of documents.
-
-    Of the documents with so many words at least, the given share with the greatest scores is drawn.
-    """
-    gains = dictionary(documents, target, lo, hi, buckets)
-    scored = materialize(scores(weights(documents, gains, lo, hi), seed), "importance-scores")
-    discard(gains)
-    return ranked(scored, percent, least_words)
-
-
-def each_row(result: DataFrame) -> DataFrame:
-    """(doc_id, n_features, weight, score, rank) of every input row; rank is null for those not drawn."""
-    chunks = F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {COPIES}"))).alias("chunk")
-    rows = result.select("doc_id", "n_features", "weight", "score", "rank", "drawn", "copies", chunks)
-    first = F.col("chunk") * COPIES
-    rows = rows.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("copies"), first + COPIES) - 1)))
-    return rows.select("doc_id", "n_features", "weight", "score", F.when(F.col("copy") < F.col("drawn"), F.col("rank") + F.col("copy")).alias("rank"))
+    """(row, doc_id, text_hash, n_words, n_features, weight, score, rank) of each row; row numbers it and means nothing else."""
+    return ranked(scores(weights(documents, target, lo, hi, buckets), seed), percent, least_words)
 
 
 def draw(documents: DataFrame, result: DataFrame) -> DataFrame:
     """The drawn documents with all their columns, by resample()'s result.
 
-    Of rows with the same id and text at the border as many are taken as are drawn; only one such group can be cut.
+    Of rows with the same id and text as many are taken as were drawn; only the group at the border can be cut.
     """
-    key = F.struct("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
     name = "_drawn"
     while name in documents.columns:
         name += "_"
-    told = materialize(result.where("drawn > 0"), "importance-drawn")
-    whole = bounded(told.where("drawn = copies").select(F.struct(*KEY).alias(name)))
+    groups = materialize(result.groupBy("doc_id", "text_hash").agg(F.count("rank").alias("drawn"), F.count("*").alias("rows")).where("drawn > 0"), "importance-drawn")
+    key = F.struct("doc_id", F.xxhash64("text"))
+    whole = bounded(groups.where("drawn = rows").select(F.struct("doc_id", "text_hash").alias(name)))
     taken = documents.join(whole, key.eqNullSafe(F.col(name)), "left_semi")
-    cut = told.where("drawn < copies").first()
+    cut = groups.where("drawn < rows").first()
     if cut is None:
         return taken
-    same = F.col("doc_id").eqNullSafe(F.lit(cut["doc_id"])) & (F.xxhash64("text") == cut["hash_1"]) & (F.xxhash64(F.lit(1), "text") == cut["hash_2"])
+    same = F.col("doc_id").eqNullSafe(F.lit(cut["doc_id"])) & (F.xxhash64("text") == cut["text_hash"])
     return taken.unionByName(documents.where(same).limit(cut["drawn"]))
 
 

@@ -66,7 +66,7 @@ def test_fingerprints_and_components(spark, sf):
 def test_empty_tables(spark):
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert resampling.each_row(resampling.resample(none, none)).collect() == []
+    assert resampling.resample(none, none).collect() == []
     assert prefix_trie.trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
@@ -166,11 +166,12 @@ def plain_draw(docs, target, hi, buckets=10_000, percent=10, least=20):
 @pytest.mark.parametrize(("hot", "hi"), [(100_000, 1), (40, 2)])
 def test_importance_resampling(spark, sf, monkeypatch, many_ranges, hot, hi):
     monkeypatch.setattr(resampling, "HOT", hot)
-    monkeypatch.setattr(resampling, "COPIES", 2)
+    monkeypatch.setattr(resampling, "CHUNK", 2000)
+    monkeypatch.setattr(resampling, "PIECE", 300)
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     target = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     docs += [(None, None), (-1, ""), (-2, "a b"), (None, docs[0][1])] + [(-3, target[0][1] + " word" * 20)] * 7
-    df = spark.createDataFrame([(d, x, 1, "w", 2.0, 3) for d, x in docs], "doc_id long, text string, gain int, feature string, weight double, hash_1 int")
+    df = spark.createDataFrame([(d, x, 1, "w", 2.0, 3) for d, x in docs], "doc_id long, text string, row int, feature string, weight double, text_hash int")
     found = resampling.resample(df, spark.createDataFrame(target, "item_id long, text string"), hi=hi)
     every, drawn = plain_draw(docs, target, hi)
     ranks = defaultdict(list)
@@ -181,7 +182,7 @@ def test_importance_resampling(spark, sf, monkeypatch, many_ranges, hot, hi):
         own = ranks[r]
         want.append((str(r[0]), *r[1:4], own.pop(0) if own else None))
     order = lambda rows: sorted(rows, key=str)
-    got = [(str(r[0]), *r[1:]) for r in resampling.each_row(found).collect()]
+    got = [(str(r[0]), *r[1:]) for r in found.select("doc_id", "n_features", "weight", "score", "rank").collect()]
     assert order(got) == order(want)
     taken = resampling.draw(df, found)
     assert taken.columns == df.columns
@@ -194,7 +195,7 @@ def test_a_group_of_equal_rows_is_cut_at_the_border(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = resampling.resample(df, df.limit(0))
     assert resampling.draw(df, found).count() == 2
-    assert sorted(r["rank"] for r in resampling.each_row(found).where("rank is not null").collect()) == [1, 2]
+    assert sorted(r["rank"] for r in found.where("rank is not null").collect()) == [1, 2]
 
 
 def plain_trie(rows):

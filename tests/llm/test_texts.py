@@ -243,8 +243,9 @@ def test_differencing(spark):
     df = spark.createDataFrame([(*p, "host") for p in PAGES], "page_id long, url string, html string, host string").coalesce(1)
     got = {}
     for r in html_extract.extract(df).collect():
-        got.setdefault(r["page_id"], r["text"])
-    assert got[1] == "One two <b>" and got[2] in ("Three", "Menu line Foot")
+        assert got.setdefault(r["page_id"], r["text"]) == r["text"]
+    assert got[1] == "One two <b>" and got[5] == "Three"
+    assert got[2] == "Menu line Three Foot"  # page 1 shares most of it, and page 5 is a version of it
     assert got[3] == "ABc d e" and got[4] == "" and got[6] == "" and got[7] == got[8] == "same"
     assert got[9] == got[10] == "copy of it" and len(got[11]) == 5 * 50_000 - 1
     assert html_extract.extract(df).count() == len(PAGES) and html_extract.extract(df.where("false")).collect() == []
@@ -305,3 +306,38 @@ def test_longest_common_subsequence(a, b):
     assert len(found) == table[-1][-1]
     rest = iter(b)
     assert all(any(a[k] == c for c in rest) for k in found)
+
+
+def test_equal_rows_have_equal_texts_and_are_one_neighbour(spark):
+    one, two = ("http://h/a", "<p>Foot</p><p>Uno dos tres cuatro</p><p>only here</p>"), ("http://h/b", "<p>Foot</p><p>Cinco seis siete ocho</p>")
+    alone = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame([(1, *one), (2, *two)], "page_id long, url string, html string")).collect()}
+    assert alone == {1: "Uno dos tres cuatro only here", 2: "Cinco seis siete ocho"}
+    rows = [(1, *one)] * 3 + [(2, *two)] * 2 + [(9, *one), (None, *two), (3, *two), (3, *two)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        got = html_extract.extract(df.repartition(parts)).collect()
+        assert sorted(((r["page_id"], r["url"]) for r in got), key=str) == sorted(((r[0], r[1]) for r in rows), key=str)
+        assert all(r["text"] == alone[1 if r["url"] == "http://h/a" else 2] for r in got)
+
+
+def test_hidden_parts_and_comments_are_no_text():
+    page = lambda body: " ".join(t for t, _, dropped in html_extract.Page(body).lines if not dropped)
+    assert page("<article>a<section class='comment-thread'>no</section><div hidden>no</div><div style='color:red; DISPLAY : none'>no</div><p style='display:block'>b</p><ol class=commentList>no</ol></article>") == "a b"
+    assert page("<div class='site-header-inner'>no</div><ul class='menu-main-container'>no</ul><div class='has-sidebar'>a</div><div class='ad-free'>b</div><div id='commentary'>c</div>") == "a b c"
+
+
+def test_alignment_is_exact_however_lines_recur(monkeypatch):
+    for n in (64, 65, 500):
+        assert html_extract.shared_lines(["p", "s", "q"], ["r", "s", "t"] * n) == {1}
+    rng = np.random.default_rng(5)
+    for bits in (1 << 29, 40):
+        monkeypatch.setattr(html_extract, "TABLE_BITS", bits)
+        for _ in range(60):
+            a, b = (["xyzuvw"[k] for k in rng.integers(0, rng.integers(1, 7), rng.integers(0, 40))] for _ in range(2))
+            length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    length[i + 1][j + 1] = length[i][j] + 1 if x == y else max(length[i][j + 1], length[i + 1][j])
+            found = [a[i] for i in sorted(html_extract.shared_lines(a, b))]
+            rest = iter(b)
+            assert len(found) == length[-1][-1] and all(x in rest for x in found)
