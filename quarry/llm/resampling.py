@@ -76,8 +76,8 @@ def frequent(documents: DataFrame, lo: int, hi: int) -> dict[bytes, int]:
     return {bytes(r["feature"]): zlib.crc32(r["feature"]) for r in found.orderBy(F.desc("n"), "feature").limit(HOT).collect()}
 
 
-def dealt(documents: DataFrame, hot: dict[bytes, int], lo: int, hi: int, buckets: int) -> DataFrame:
-    """Rows of two kinds: (row, bucket, n), a rare feature of a document, and one with bucket null for each document.
+def counted(documents: DataFrame, hot: dict[bytes, int], lo: int, hi: int, buckets: int) -> DataFrame:
+    """Rows of two kinds: (feature, n, row), a rare feature of a document, and one with feature null for each document.
 
     The latter has doc_id, text_hash, n_words, n_features, and its frequent features by bucket: hot_buckets, hot_counts.
     """
@@ -123,37 +123,42 @@ def dealt(documents: DataFrame, hot: dict[bytes, int], lo: int, hi: int, buckets
 
     names = ["feature", "n", *(c.split()[0] for c in place.split(", "))]
     docs = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = map_arrow(docs, split, "feature binary, n long, " + place)
-    # rows of documents are dealt by row, those of features by feature, in order, so that each string is hashed once
-    together = rows.repartition(F.coalesce("feature", F.col("row").cast("string").cast("binary"))).sortWithinPartitions("feature")
+    return map_arrow(docs, split, "feature binary, n long, " + place)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def hashed(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n, row) of the rare features among rows as counted() gives them: dealt by feature, in order, each string is hashed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("feature").dictionary_encode()
-            codes = pa.array([None if f is None else zlib.crc32(f) % buckets for f in own.dictionary.to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([codes.take(own.indices), *batch.columns[1:]], ["bucket", *names[1:]])
+            codes = pa.array([zlib.crc32(f) % buckets for f in own.dictionary.to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([codes.take(own.indices), batch.column("n"), batch.column("row")], ["bucket", "n", "row"])
 
-    return map_arrow(together, hashed, "bucket int, n long, " + place)
+    # three plain columns: Arrow batches of bounded bytes are costly to fill with wide rows
+    together = rows.where("feature IS NOT NULL").select("feature", "n", "row").repartition("feature").sortWithinPartitions("feature")
+    return map_arrow(together, run, "bucket int, n long, row long")
 
 
 def weights(documents: DataFrame, target: DataFrame, lo: int = 1, hi: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """(row, doc_id, text_hash, n_words, n_features, weight) of each row of documents; the table is written."""
-    rows = materialize(dealt(documents, frequent(documents, lo, hi), lo, hi, buckets), "importance-rows")
-    wanted = dealt(target.select(F.lit(0).alias("doc_id"), "text"), {}, lo, hi, buckets).where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("t"))
-    frequent_ones = rows.where("bucket IS NULL").select(F.explode(F.arrays_zip("hot_buckets", "hot_counts")).alias("h")).select(F.col("h.hot_buckets").alias("bucket"), F.col("h.hot_counts").alias("n"))
-    source = rows.where("bucket IS NOT NULL").select("bucket", "n").unionByName(frequent_ones).groupBy("bucket").agg(F.sum("n").alias("s"))
+    rows = materialize(counted(documents, frequent(documents, lo, hi), lo, hi, buckets), "importance-rows")
+    rare = materialize(hashed(rows, buckets), "importance-hashed")
+    known = rows.where("feature IS NULL")
+    frequent_ones = known.select("row", F.explode(F.arrays_zip("hot_buckets", "hot_counts")).alias("h")).select(F.col("h.hot_buckets").alias("bucket"), F.col("h.hot_counts").alias("n"), "row")
+    each = rare.unionByName(frequent_ones)
+    wanted = hashed(counted(target.select(F.lit(0).alias("doc_id"), "text"), {}, lo, hi, buckets), buckets).groupBy("bucket").agg(F.sum("n").alias("t"))
+    source = each.groupBy("bucket").agg(F.sum("n").alias("s"))
     sums = materialize(source.join(wanted, "bucket", "full_outer").select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")), "importance-buckets")
     all_source, all_wanted = (x or 0 for x in sums.agg(F.sum("s"), F.sum("t")).first())
     ratio = ((F.col("t") + 1).cast("double") * F.lit(float(all_source + buckets))) / ((F.col("s") + 1).cast("double") * F.lit(float(all_wanted + buckets)))
     gains = F.broadcast(sums.select("bucket", F.floor(1000 * F.log(ratio)).cast("bigint").alias("gain")))  # a row for each bucket at most
-    own = rows.where("bucket IS NULL").select("row", F.explode(F.arrays_zip("hot_buckets", "hot_counts")).alias("h")).select("row", F.col("h.hot_buckets").alias("bucket"), F.col("h.hot_counts").alias("n"))
-    each = rows.where("bucket IS NOT NULL").select("row", "bucket", "n").unionByName(own).join(gains, "bucket")
-    named = rows.where("bucket IS NULL").select("row", "doc_id", "text_hash", "n_words", "n_features", F.lit(0).cast("long").alias("weight"))
+    named = known.select("row", "doc_id", "text_hash", "n_words", "n_features", F.lit(0).cast("long").alias("weight"))
     none = [F.lit(None).cast(t).alias(c) for c, t in named.dtypes[1:5]]
-    both = named.unionByName(each.select("row", *none, (F.col("n") * F.col("gain")).alias("weight")))
+    both = named.unionByName(each.join(gains, "bucket").select("row", *none, (F.col("n") * F.col("gain")).alias("weight")))
     found = both.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "text_hash", "n_words", "n_features")], F.sum("weight").alias("weight"))
     told = materialize(found, "importance-weights")
-    discard(rows, sums)
+    discard(rows, rare, sums)
     return told
 
 
