@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, bounded, materialize
+from quarry.llm.common import apart, ascii_lower, bounded, materialize
 
 #: A maximal run of 0-9, a-z and everything beyond ASCII, after lower-casing A-Z.
 WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
@@ -99,8 +99,10 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> Dat
 
 
 def _with_hits(documents: DataFrame, hits: DataFrame, how: str) -> DataFrame:
-    found = hits.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), *[c for c in ("positions", "items") if c in hits.columns])
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["_doc_id"]) & (F.xxhash64(documents["text"]) == found["_text_hash"]), how)
+    """documents joined with hits, whose columns (doc_id, text_hash, ..) are named apart from those of documents."""
+    found = hits.toDF(*apart(documents, *(f"_{c}" for c in hits.columns)))
+    id_, hash_ = (F.col(f"`{c}`") for c in found.columns[:2])
+    return documents.join(found, documents["doc_id"].eqNullSafe(id_) & (F.xxhash64(documents["text"]) == hash_), how)
 
 
 def report(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
@@ -126,8 +128,9 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) ->
     """All documents and columns; hit words, each with what stands between it and the word before, are cut from the text."""
     both = _with_hits(documents, find_hits(documents, benchmark, n).select("doc_id", "text_hash", "positions"), "left")
     pieces = F.regexp_extract_all(documents["text"], F.lit(PIECE), F.lit(0))
-    kept = F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(F.col("positions"), i)), "")
-    text = F.when(F.col("positions").isNull(), documents["text"]).otherwise(kept).alias("text")
+    positions = F.col(apart(documents, "_positions")[0])
+    kept = F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(positions, i)), "")
+    text = F.when(positions.isNull(), documents["text"]).otherwise(kept).alias("text")
     return both.select(*[text if c == "text" else documents[c] for c in documents.columns])
 
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, discard, map_arrow, materialize, slices
+from quarry.llm.common import apart, bounded, discard, map_arrow, materialize, slices
 
 SHINGLE = 5
 #: Similarity of at least 75 / 100. The bound on differing members, (|A| + |B|) / 7, follows from it.
@@ -502,12 +502,13 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     first = same.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
     first = first.select("label", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
-    marked = same.join(first, "label").where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (~stays).alias("_gone"))
+    id_, hash_, gone = apart(documents, "_id", "_hash", "_gone")
+    marked = same.join(first, "label").where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), (~stays).alias(gone))
     marked = materialize(marked, "jaccard-gone")
-    here = [documents["doc_id"].eqNullSafe(F.col("_id")), F.xxhash64(documents["text"]) == F.col("_hash")]
+    here = [documents["doc_id"].eqNullSafe(F.col(id_)), F.xxhash64(documents["text"]) == F.col(hash_)]
     left = documents.join(bounded(marked), here, "left_anti")
-    often = marked.where("not _gone").drop("_gone")
+    often = marked.where(~F.col(gone)).drop(gone)
     if often.isEmpty():
         return left
-    copies = documents.join(bounded(often), here, "left_semi").withColumn("_hash", F.xxhash64("text"))
-    return left.unionByName(copies.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    copies = documents.join(bounded(often), here, "left_semi").withColumn(hash_, F.xxhash64("text"))
+    return left.unionByName(copies.dropDuplicates(["doc_id", hash_]).drop(hash_))

@@ -132,8 +132,8 @@ class Model:
         return self._langs[best], second / (first + second) if second else 0.5, len(order), known
 
 
-def predict(documents: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """All columns of documents and `lang_id`, a struct of lang_pred, score, n_grams and n_known; a column lang_id is replaced."""
+def predict(documents: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, told: str = "lang_id") -> DataFrame:
+    """All columns of documents and a struct of lang_pred, score, n_grams and n_known, named by told; a column of that name is replaced."""
     sent = documents.sparkSession.sparkContext.broadcast(profiles)  # size numbers for each language
 
     @F.pandas_udf("lang_pred string, score double, n_grams long, n_known long")
@@ -143,7 +143,7 @@ def predict(documents: DataFrame, profiles: dict[str, np.ndarray], size: int = P
             yield pd.DataFrame([model.predict(t) for t in part], columns=["lang_pred", "score", "n_grams", "n_known"])
         give_back()
 
-    return in_batches(documents).withColumn("lang_id", tell("text"))
+    return in_batches(documents).withColumn(told, tell("text"))
 
 
 def identify(documents: DataFrame, training: Column) -> DataFrame:

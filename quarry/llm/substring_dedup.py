@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, give_back, in_batches, map_arrow, materialize, slices
+from quarry.llm.common import apart, bounded, give_back, in_batches, map_arrow, materialize, slices
 
 MIN_WORDS, MIN_SENTENCES = 25, 2
 #: What ends a sentence: . ! or ? and the white space behind it, or line feeds.
@@ -131,15 +131,32 @@ def repeated(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: in
     return runs.select("doc", "text_hash", F.transform("runs", lambda r: r["at"]).alias("at"), F.transform("runs", lambda r: r["size"]).alias("size"))
 
 
-def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
-    """All rows and columns, the text without repeated sentences, and `repeats`: a struct of n_sentences and n_removed."""
-    cuts = repeated(documents, min_words, min_sentences).withColumnsRenamed({"doc": "_cut_doc", "text_hash": "_cut_hash", "at": "_cut_at", "size": "_cut_size"})
+def _first_of_each_text(unnamed: DataFrame, copy: str) -> DataFrame:
+    """Rows without an id, marked with the column copy: whether another of them has the same text.
+
+    First the copies of each task are counted, then one row of each text and task: no task gets all copies of a text.
+    """
+    part, place = apart(unnamed, "_part", "_place")
+    text = F.xxhash64("text")
+    told = unnamed.withColumn(part, F.spark_partition_id())
+    told = materialize(told.withColumn(place, F.row_number().over(Window.partitionBy(text, part).orderBy(part))), "unnamed")
+    again = F.row_number().over(Window.partitionBy(text).orderBy(part)) > 1
+    marked = told.where(F.col(place) == 1).withColumn(copy, F.col("text").isNotNull() & again).unionByName(told.where(F.col(place) > 1).withColumn(copy, F.col("text").isNotNull()))
+    return marked.drop(part, place)
+
+
+def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES, told: str = "repeats") -> DataFrame:
+    """All rows and columns, the text without repeated sentences, and a struct of n_sentences and n_removed.
+
+    told names the struct; a column of that name is replaced.
+    """
+    names = doc, hash_, at, size, copy, done_ = apart(documents, "_cut_doc", "_cut_hash", "_cut_at", "_cut_size", "_copy", "_cut")
+    cuts = repeated(documents, min_words, min_sentences).toDF(*names[:4])
     unnamed = documents.where("doc_id is null")
-    marked = documents.withColumn("_copy", F.lit(False))
+    marked = documents.withColumn(copy, F.lit(False))
     if not unnamed.isEmpty():
-        rank = F.row_number().over(Window.partitionBy(F.xxhash64("text")).orderBy(F.xxhash64("text")))
-        marked = marked.where("doc_id is not null").unionByName(unnamed.withColumn("_copy", F.col("text").isNotNull() & (rank > 1)))
-    both = marked.join(cuts, marked["doc_id"].eqNullSafe(cuts["_cut_doc"]) & (F.xxhash64(marked["text"]) == cuts["_cut_hash"]), "left")
+        marked = marked.where("doc_id is not null").unionByName(_first_of_each_text(unnamed, copy))
+    both = marked.join(cuts, marked["doc_id"].eqNullSafe(cuts[doc]) & (F.xxhash64(marked["text"]) == cuts[hash_]), "left")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def cut(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -157,5 +174,6 @@ def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences:
             yield pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
         give_back()
 
-    done = in_batches(both).withColumn("_cut", cut("text", "_cut_at", "_cut_size", "_copy"))
-    return done.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns], F.struct("_cut.n_sentences", "_cut.n_removed").alias("repeats"))
+    done = in_batches(both).withColumn(done_, cut("text", at, size, copy))
+    kept = [F.col(f"{done_}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns if c.lower() != told.lower()]
+    return done.select(*kept, F.struct(f"{done_}.n_sentences", f"{done_}.n_removed").alias(told))

@@ -246,3 +246,38 @@ def test_pipeline_stages(spark, sf, stages):
 
 def test_run_equals_its_stages(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).agg(F.sum("length")).first() == stages[-1][2].agg(F.sum("length")).first()
+
+
+CLASHING = ["_id", "_hash", "_gone", "positions", "_positions", "items", "_doc_id", "_text_hash", "_cut_doc", "_cut_hash", "_cut_at", "_cut_size", "_copy", "_cut", "Repeats", "lang_id", "node", "label", "rows", "n", "key", "span"]
+
+
+def test_any_names_of_extra_columns(spark, sf):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from quarry.llm import decontaminate, jaccard_join, langid, substring_dedup
+    from quarry.llm.common import table
+
+    plain = table(spark, sf, "documents").where("doc_id < 60")
+    plain = plain.unionByName(plain.where("doc_id < 5")).unionByName(plain.where("doc_id BETWEEN 5 AND 9").withColumn("doc_id", F.lit(None).cast("long")))
+    docs = plain.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+    benchmark = table(spark, sf, "benchmark")
+    rows = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    for apply in (lambda d: decontaminate.remove_spans(d, benchmark), lambda d: decontaminate.remove_documents(d, benchmark), jaccard_join.one_of_each, lambda d: langid.predict(d, langid.learn_profiles(d), told="told_lang")):
+        done = apply(docs)
+        assert [c for c in done.columns if c != "told_lang"] == docs.columns and rows(done) == rows(apply(plain))
+        assert all(r[c] == k for r in done.collect() for k, c in enumerate(CLASHING))
+    done = substring_dedup.deduplicate(docs)
+    assert sorted(done.columns) == sorted([c for c in docs.columns if c != "Repeats"] + ["repeats"]) and rows(done) == rows(substring_dedup.deduplicate(plain))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left, same = stage(spark, docs, sf), stage(spark, plain, sf)
+        assert left.columns == docs.columns and rows(left) == rows(same), name
+
+
+def test_copies_without_an_id_are_removed_but_one(spark):
+    from quarry.llm import substring_dedup
+
+    text = "One two three four five six seven eight nine ten. " * 6
+    df = spark.createDataFrame([(None, text)] * 20 + [(None, "Short one."), (None, None), (None, None)], "doc_id long, text string").repartition(5)
+    left = [r["text"] for r in substring_dedup.deduplicate(df).collect()]
+    assert sorted(map(str, left)).count("") == 19 and left.count(None) == 2 and left.count("Short one.") == 1
