@@ -9,18 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard_join, langid, packing, substring_dedup
-from quarry.llm.common import fold, materialize, table
+from quarry.llm.common import apart, fold, materialize, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go, and those as far from every profile as can be.
+    """Documents whose language can be told, lang being the language told; what cannot be told goes.
 
-    Where no profile was learnt, all with a letter stay.
+    That are documents without a letter, and those none of whose n-grams is in any profile. Where no profile was learnt,
+    all with a letter stay, and keep their lang.
     """
     training = F.col("lang").isNotNull() & F.coalesce(fold("doc_id", 5) != 0, F.lit(True))
     profiles = langid.learn_profiles(docs.where(training))
-    told = F.col("lang_id.n_known" if profiles else "lang_id.n_grams") > 0
-    return langid.predict(docs, profiles).where(told).select(*docs.columns)
+    (told,) = apart(docs, "lang_id")
+    known = F.col(f"{told}.n_known" if profiles else f"{told}.n_grams") > 0
+    lang = F.col(f"{told}.lang_pred").alias("lang") if profiles else F.col("lang")
+    return langid.predict(docs, profiles, told=told).where(known).select(*[lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +33,11 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stood before; those of which nothing is left go."""
-    done = substring_dedup.deduplicate(docs)
-    left = (F.col("repeats.n_removed") == 0) | (F.col("repeats.n_removed") < F.col("repeats.n_sentences"))
+    (told,) = apart(docs, "repeats")
+    done = substring_dedup.deduplicate(docs, told=told)
+    left = (F.col(f"{told}.n_removed") == 0) | (F.col(f"{told}.n_removed") < F.col(f"{told}.n_sentences"))
     size = F.length("text").cast("bigint").alias("n_chars")
-    return done.where(left).select(*[size if c == "n_chars" else c for c in docs.columns])
+    return done.where(left).select(*[size if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
