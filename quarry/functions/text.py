@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -108,6 +109,62 @@ def ordered_subsequence(short: Column, long: Column) -> Column:
     return at > F.size(short)
 
 
+#: Names of more tokens than this are running text: they nest with none but themselves.
+LONGEST_NAME = 12
+
+
+def nested_names(a: Column, b: Column) -> Column:
+    """Whether two names of three tokens or more share the first two, and the shorter one's tokens stand in the longer one in order."""
+    inside = F.when(F.size(a) <= F.size(b), ordered_subsequence(a, b)).otherwise(ordered_subsequence(b, a))
+    return (F.size(a) > 2) & (F.size(b) > 2) & (F.slice(a, 1, 2) == F.slice(b, 1, 2)) & ((a == b) | (F.greatest(F.size(a), F.size(b)) <= LONGEST_NAME)) & inside
+
+
+def choices(tokens: Column, fixed: int, least: int) -> Column:
+    """All names of `least` tokens or more that keep the first `fixed` tokens and some, but not all, of the others in order."""
+    start = F.array(F.slice(tokens, 1, fixed))
+    grown = F.aggregate(F.slice(tokens, fixed + 1, LONGEST_NAME), start, lambda done, t: F.concat(done, F.transform(done, lambda x: F.concat(x, F.array(t)))))
+    kept = F.filter(grown, lambda x: (F.size(x) >= least) & (F.size(x) < F.size(tokens)))
+    return F.when(F.size(tokens) <= LONGEST_NAME, F.array_distinct(F.transform(kept, lambda x: F.array_join(x, " "))))
+
+
+def token_edits(a: Column, b: Column, letters: int) -> Column:
+    """0 for equal tokens, 1 for tokens of so many letters or more that are one edit apart, else null."""
+    near = (F.least(F.length(a), F.length(b)) >= letters) & (F.levenshtein(a, b, 1) == 1)
+    return F.when(a == b, 0).when(near, 1)
+
+
+def aligned_names(a: Column, b: Column, letters: int) -> Column:
+    """(edits, gaps) if the shorter name's tokens stand in the longer one in order, each at its first place within one edit; else null.
+
+    The first tokens of both must be within one edit of each other too.
+    """
+    swap = F.size(a) > F.size(b)
+    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("edits"))
+
+    def step(s: Column, token: Column) -> Column:
+        d = F.when(s["at"] < F.size(short), token_edits(F.get(short, s["at"]), token, letters))
+        return F.when(d.isNull(), s).otherwise(F.struct((s["at"] + 1).alias("at"), (s["edits"] + d).alias("edits")))
+
+    done = F.aggregate(long, start, step)
+    whole = (F.size(short) > 0) & (done["at"] == F.size(short)) & token_edits(F.get(a, F.lit(0)), F.get(b, F.lit(0)), letters).isNotNull()
+    return F.when(whole, F.struct(done["edits"].alias("edits"), (F.size(long) - F.size(short)).alias("gaps")))
+
+
+def weak_edits(weak: Column, full: Column) -> Column:
+    """Edits of a short name against a full one: its tokens in order within one edit each, or those that fit and its last token anywhere behind the first; else null."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("edits"))
+
+    def step(s: Column, token: Column) -> Column:
+        d = F.when(s["at"] < F.size(weak), F.levenshtein(F.get(weak, s["at"]), token, 1))
+        return F.when(F.coalesce(d, F.lit(-1)) < 0, s).otherwise(F.struct((s["at"] + 1).alias("at"), (s["edits"] + d).alias("edits")))
+
+    done = F.aggregate(full, start, step)
+    distances = F.filter(F.transform(F.slice(full, 2, F.greatest(F.size(full) - 1, F.lit(0))), lambda t: F.levenshtein(F.element_at(weak, -1), t, 1)), lambda d: d >= 0)
+    told = F.when(done["at"] == F.size(weak), done["edits"]).otherwise(done["edits"] + F.array_min(distances))
+    return F.when((F.size(weak) > 0) & (F.size(full) > 0) & (F.levenshtein(F.get(weak, F.lit(0)), F.get(full, F.lit(0)), 1) >= 0), told)
+
+
 def abbreviated(c: Column, short: dict[str, str]) -> Column:
     """The short form of a label, blank if it has none."""
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in short.items() for x in pair]), c), F.lit(""))
@@ -189,10 +246,14 @@ def weekday_in(c: Column) -> Column:
     return F.regexp_extract(c, r"\b((?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day)\b", 1)
 
 
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKC")
+
+
 def compatible(c: Column) -> Column:
     """Compatibility form with folded digits and single spaces; placeholders (dashes, dots) are blank. No built-in does NFKC."""
-    nfkc = F.pandas_udf(lambda texts: texts.str.normalize("NFKC"), StringType(), F.PandasUDFType.SCALAR)
-    plain = F.trim(F.regexp_replace(fold_digits(nfkc(c)), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(fold_digits(_nfkc(c)), r"\s+", " "))
     return F.when(plain.rlike(r"^[-–—._]*$"), "").otherwise(plain)
 
 
@@ -200,3 +261,29 @@ def name_parts(c: Column, ranks: Sequence[str]) -> Column:
     """(rank, name, time) of a name with a rank before it and a time in brackets behind it; blank if not there."""
     before, behind = rf"^({'|'.join(ranks)})\s*/\s*", r"\s*\(([^()]*)\)$"
     return F.struct(F.regexp_extract(c, before, 1).alias("rank"), F.regexp_replace(F.regexp_replace(c, before, ""), behind, "").alias("name"), clock(F.regexp_extract(c, behind, 1)).alias("time"))
+
+
+def people_in(c: Column, markers: dict[str, Sequence[str]], stops: Sequence[str]) -> Column:
+    """Array of (kind, marker, name, phones, start): people named in a text, each behind a marker of one of the kinds.
+
+    The text is cut where a marker begins, so a person's segment ends where the next marker begins, whichever kind that
+    is; start is the marker's place, from 0. Phones are taken out of a segment; its name ends at a sign that separates,
+    a word of stops or a number. Segments without a letter in the name are no people.
+    """
+    every = [m for kind in markers.values() for m in kind]
+    mark, cut = rf"\b({'|'.join(every)})\b[./]?\s*", "\x01"
+    plain = F.translate(fold_digits(F.coalesce(c, F.lit(""))), "\x01\x02", "  ")
+    parts = F.split(F.regexp_replace(plain, rf"\b(?={'|'.join(rf'{m}\b' for m in every)})", cut), cut)
+    lengths = F.transform(parts, lambda p: F.length(p))
+    phone = r"(?<!\d)(0\s?1(?:[\s-]?\d){8,9})(?!\d)"
+    kinds = F.create_map(*[F.lit(x) for k, group in markers.items() for m in group for x in (m, k)])
+
+    def person(p: Column, i: Column) -> Column:
+        marker = F.regexp_extract(p, f"^{mark}", 1)
+        rest = F.regexp_replace(p, f"^{mark}", "")
+        name = F.regexp_replace(F.regexp_replace(rest, phone, " "), rf"(?s)([+;:,()\n\"«»]|\b(?:{'|'.join(stops)})\b|\d).*$", "")
+        start = F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda s, n: s + n)
+        phones = F.transform(F.regexp_extract_all(rest, F.lit(phone), F.lit(1)), lambda x: F.regexp_replace(x, r"\D", ""))
+        return F.struct(F.element_at(kinds, F.when(marker != "", marker)).alias("kind"), marker.alias("marker"), fold(name).alias("name"), phones.alias("phones"), start.alias("start"))
+
+    return F.filter(F.transform(parts, person), lambda x: (x["marker"] != "") & x["name"].rlike(r"\p{L}"))

@@ -87,10 +87,10 @@ def fuzzy_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.constrained_clusters(rows, "block", "id", "name", "seen")
 
 
-@query("WITH s AS (SELECT l_orderkey AS a, l_suppkey AS b, count(*) * 10 + max(l_linenumber) AS score FROM lineitem GROUP BY 1, 2), t AS (SELECT a, max(score) AS top FROM s GROUP BY 1), u AS (SELECT s.a, min(s.b) AS b FROM s JOIN t ON t.a = s.a AND s.score = t.top GROUP BY 1 HAVING count(*) = 1) SELECT a, b FROM u WHERE b IN (SELECT b FROM u GROUP BY b HAVING count(*) = 1)")
+@query("WITH s AS (SELECT l_partkey AS a, l_orderkey AS b, sum(l_quantity) AS score FROM lineitem GROUP BY 1, 2), t AS (SELECT a, max(score) AS top FROM s GROUP BY 1), u AS (SELECT s.a, min(s.b) AS b FROM s JOIN t ON t.a = s.a AND s.score = t.top GROUP BY 1 HAVING count(*) = 1) SELECT a, b FROM u WHERE b IN (SELECT b FROM u GROUP BY b HAVING count(*) = 1)")
 def unique_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best partner, if it is the only best and nobody else's."""
-    scores = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b")).agg((F.count("*") * 10 + F.max("l_linenumber")).alias("score"))
+    scores = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("a"), F.col("l_orderkey").alias("b")).agg(F.sum("l_quantity").alias("score"))
     return matching.unique_best(scores, "a", "b", "score")
 
 

@@ -83,9 +83,11 @@ def day_k_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.date_add("s", F.col("x").cast("int")).alias("l_shipdate_day"), status.alias("status"), F.concat(F.lit("day "), "k", F.lit(" of "), "n").alias("text"))
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS k, p_brand, p_size, {_TOKENS} AS w FROM part), q AS (SELECT p_partkey AS k, p_brand, p_size, [str_split(p_name, ' ')[1], lower(p_type)] AS w FROM part)
-SELECT q.k AS short, p.k AS long, list_position(p.w, q.w[1]) IS NOT NULL AND list_position(p.w, q.w[2]) > list_position(p.w, q.w[1]) AS ordered, list_position(p.w, q.w[1]) IS NOT NULL AND list_position(p.w, q.w[2]) < list_position(p.w, q.w[1]) AS reversed
-FROM q JOIN p ON q.p_brand = p.p_brand AND q.p_size = p.p_size AND q.k <> p.k""")
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_brand, p_size, {_TOKENS} AS w FROM part), q AS (SELECT k, p_brand, p_size, w[1] AS a, w[-1] AS b FROM p),
+t AS (SELECT k, p_brand, p_size, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS pos FROM p),
+x AS (SELECT q.k AS short, t.k AS long, min(CASE WHEN token = a THEN pos END) AS first_a, max(CASE WHEN token = a THEN pos END) AS last_a, min(CASE WHEN token = b THEN pos END) AS first_b, max(CASE WHEN token = b THEN pos END) AS last_b
+  FROM q JOIN t ON q.p_brand = t.p_brand AND q.p_size = t.p_size AND q.k <> t.k GROUP BY 1, 2)
+SELECT short, long, coalesce(first_a < last_b, false) AS ordered, coalesce(first_b < last_a, false) AS reversed FROM x""")
 def token_subsequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two tokens of one name stand in another in the same order, or in the other one."""
     p = _part_tokens(spark, sf_dir)
@@ -111,7 +113,7 @@ SELECT a.k AS a, b.k AS b, CAST(CASE WHEN a.w[1] = b.w[1] AND a.w[2] = b.w[2] TH
   CAST(round(100 * (0.30::DOUBLE * CASE WHEN a.w[1] = b.w[1] THEN 1 ELSE 0 END + 0.35::DOUBLE * CASE WHEN a.w[2] = b.w[2] THEN 1 ELSE 0 END + 0.25::DOUBLE * CASE WHEN a.w[1] = b.w[1] AND a.w[2] = b.w[2] THEN 2 WHEN a.w[1] = b.w[1] OR a.w[2] = b.w[2] OR a.w[1] = b.w[2] OR a.w[2] = b.w[1] THEN 1 ELSE 0 END / 2 + 0.10::DOUBLE * CASE WHEN a.p_type = b.p_type THEN 1 ELSE 0 END)) AS BIGINT) AS score
 FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.k < b.k""")
 def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted score of two names: 0.30 first token, 0.35 last, 0.25 longest common subsequence, 0.10 code."""
+    """A plain weighted score of two names: 0.30 first token, 0.35 last, 0.25 longest common subsequence, 0.10 code (C5 is person_matches)."""
     p = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_type", F.split("p_name", " ").alias("w"))
     a, b = p.toDF("a", "p_brand", "p_size", "ta", "wa"), p.toDF("b", "p_brand", "p_size", "tb", "wb")
     both = a.join(b, ["p_brand", "p_size"]).where("a < b").withColumn("common", text.common_subsequence(F.col("wa"), F.col("wb")))
@@ -123,7 +125,7 @@ def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH p AS (SELECT p_partkey AS k, p_brand, p_size, list_distinct({_TOKENS} || [CAST(p_size % 4 AS VARCHAR)]) AS w, p_size % 4 AS number FROM part), x AS (SELECT a.k AS a, b.k AS b, 2.0::DOUBLE * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) AS f1, a.number <> b.number AS conflict FROM p a JOIN p b ON a.p_brand = b.p_brand AND abs(a.p_size - b.p_size) <= 1 AND a.k < b.k)
 SELECT a, b, round(CASE WHEN conflict THEN least(f1, 0.55) ELSE f1 END, 6) AS score FROM x""")
 def token_f1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 of two names' tokens, at most 0.55 where their numbers differ."""
+    """F1 of two names' tokens, at most 0.55 where their numbers differ (C6, with the ratio, is in aligned_services)."""
     p = _part_tokens(spark, sf_dir).select("p_partkey", "p_brand", "p_size", F.concat("tokens", F.array((F.col("p_size") % 4).cast("string"))).alias("w"))
     near = p.withColumn("at", F.explode(F.array(F.col("p_size") - 1, F.col("p_size"), F.col("p_size") + 1)))
     a, b = near.select(F.col("p_partkey").alias("a"), "p_brand", "at", F.col("w").alias("wa")), p.select(F.col("p_partkey").alias("b"), "p_brand", F.col("p_size").alias("at"), F.col("w").alias("wb"))
@@ -167,13 +169,16 @@ def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey", text.name_parts(written, ["Col", "Maj"]).alias("x")).select("c_custkey", "x.*")
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_partkey, substr(p_name, 1, 2) || 'z' || substr(p_name, 3) AS found FROM part), c AS (SELECT p_partkey, p_name, count(*) OVER (PARTITION BY p_partkey) AS n FROM w JOIN n ON levenshtein(found, p_name) <= 1)
+@query("""WITH n AS (SELECT p_name FROM part UNION SELECT p_name || 's' FROM part), w AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN substr(p_name, 1, 2) || 'z' || substr(p_name, 3) WHEN 1 THEN p_name || 'z' ELSE 'qq' || p_name END AS found FROM part), c AS (SELECT p_partkey, p_name, count(*) OVER (PARTITION BY p_partkey) AS n FROM w JOIN n ON levenshtein(found, p_name) <= 1)
 SELECT w.p_partkey, found, min(CASE WHEN n = 1 THEN p_name END) AS fixed, CASE WHEN coalesce(max(n), 0) = 1 THEN 'high' WHEN max(n) > 1 THEN 'medium' ELSE 'low' END AS confidence FROM w LEFT JOIN c USING (p_partkey) GROUP BY 1, 2""")
 def spelling_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A misspelt name is mended if just one known name is a single edit away."""
     p = load(spark, sf_dir, "part")
-    written = p.select("p_partkey", F.concat(F.substring("p_name", 1, 2), F.lit("z"), F.expr("substr(p_name, 3)")).alias("found"))
-    texts = written.select(F.col("found").alias("t"), F.lit(0).alias("known")).unionAll(p.select("p_name", F.lit(1))).distinct()
+    way = F.col("p_size") % 3
+    misspelt = F.when(way == 0, F.concat(F.substring("p_name", 1, 2), F.lit("z"), F.expr("substr(p_name, 3)"))).when(way == 1, F.concat("p_name", F.lit("z"))).otherwise(F.concat(F.lit("qq"), "p_name"))
+    written = p.select("p_partkey", misspelt.alias("found"))
+    known = p.select("p_name").union(p.select(F.concat("p_name", F.lit("s"))))
+    texts = written.select(F.col("found").alias("t"), F.lit(0).alias("known")).unionAll(known.select("p_name", F.lit(1))).distinct()
     keyed = texts.select(F.concat(F.col("known").cast("string"), "t").alias("k"), "t")
     pairs = matching.near_spellings(keyed, "k", "t").where("substr(a, 1, 1) <> substr(b, 1, 1)").select(F.expr("substr(a, 2)").alias("found"), F.expr("substr(b, 2)").alias("name"))
     best = pairs.groupBy("found").agg(F.count("*").alias("n"), F.min("name").alias("name"))
@@ -221,7 +226,7 @@ def longest_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT p_brand AS list, p_partkey AS row, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos, p_size FROM part), a AS (SELECT list, pos - p_size AS shift, count(*) AS n FROM r WHERE row % 2 = 0 GROUP BY 1, 2), x AS (SELECT list, arg_max(shift, struct_pack(n := n, s := -shift)) AS shift, max(n) AS votes, sum(n) AS anchors FROM a GROUP BY 1)
 SELECT list, shift, votes, CAST(anchors AS BIGINT) AS anchors, CAST(round(100.0::DOUBLE * votes / anchors) AS BIGINT) AS confidence FROM x WHERE anchors >= 4""")
 def order_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By how much two orders of a list differ: the most frequent offset of at least four anchors."""
+    """By how much two orders of a list differ: the most frequent offset of at least four given anchors (E10 is aligned_services)."""
     at = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     rows = load(spark, sf_dir, "part").select(F.col("p_brand").alias("list"), F.col("p_partkey").alias("row"), at.alias("at"), "p_size").where("row % 2 = 0")
     votes = rows.groupBy("list", (F.col("at") - F.col("p_size")).cast("bigint").alias("shift")).agg(F.count("*").alias("n"))
@@ -247,7 +252,7 @@ def day_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_brand, p_name, count(*) AS members, count(*) FILTER (p_size > 45) AS anchors, count(DISTINCT p_type) AS codes, max(p_size) - min(p_size) AS spread, count(*) FILTER (p_size > 45) <= 1 AND count(DISTINCT p_type) <= 1 AND max(p_size) - min(p_size) <= 10 AS may_merge FROM part GROUP BY 1, 2 HAVING count(*) > 1""")
 def merge_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a group may become one: one anchor at most, one code, ranks near each other; its summary."""
+    """Whether groups of equal names may become one, as a report (E3, E5 are resolution_events and cluster_invariants)."""
     g = load(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("members"), F.count_if(F.col("p_size") > 45).alias("anchors"), F.countDistinct("p_type").alias("codes"), (F.max("p_size") - F.min("p_size")).alias("spread"))
     return g.where("members > 1").withColumn("may_merge", F.expr("anchors <= 1 AND codes <= 1 AND spread <= 10"))
 

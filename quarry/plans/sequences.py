@@ -162,11 +162,11 @@ def sorted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs(F.col("m") - F.col("n"))), "p_brand")).cast("bigint"))
 
 
-@query("""WITH k AS (SELECT *, n_chars // 100 AS score FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, n_chars DESC, doc_id) AS n, count(*) OVER (PARTITION BY lang, source, score) AS ties FROM k)
+@query("""WITH k AS (SELECT *, least(n_chars // 100, 60) AS score FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, n_chars DESC, doc_id) AS n, count(*) OVER (PARTITION BY lang, source, score) AS ties FROM k)
 SELECT lang, source, doc_id AS best, ties > 1 AS conflict FROM r WHERE n = 1""")
 def best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best document of each role, and whether another has its score."""
-    k = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.expr("n_chars div 100").alias("score"))
+    k = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.least(F.expr("n_chars div 100"), F.lit(60)).alias("score"))
     scores = k.groupBy("lang", "source", "score").agg(F.min_by("doc_id", F.struct(-F.col("n_chars"), "doc_id")).alias("best"), F.count("*").alias("ties"))
     return scores.groupBy("lang", "source").agg(F.max_by(F.struct("best", (F.col("ties") > 1).alias("conflict")), "score").alias("b")).select("lang", "source", "b.*")
 

@@ -249,12 +249,16 @@ def person_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(usual, "person")
 
 
-@query("""WITH e AS (SELECT p_partkey, list_filter([p_name, CAST(p_size AS VARCHAR), CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type END, p_name], lambda x: x <> '') AS raw FROM part) SELECT p_partkey, list_distinct(raw) IS NOT NULL AS ok, CAST(len(list_distinct(raw)) AS INTEGER) AS n, list_aggregate(list_sort(list_distinct(raw)), 'string_agg', ',') AS clean FROM e""")
+@query("""WITH e AS (SELECT p_partkey, CASE WHEN p_size % 10 > 0 THEN list_distinct(list_filter([p_name || '=1', CASE WHEN p_size % 4 = 0 THEN '=' ELSE p_type || '=' END || (p_size % 2 + 1), p_name || '=1', p_name || '=2'], lambda x: x[1] <> '=')) END AS clean FROM part)
+SELECT p_partkey, clean IS NOT NULL AS ok, CAST(coalesce(len(clean), 0) AS INTEGER) AS n, list_aggregate(list_sort(clean), 'string_agg', ',') AS clean FROM e""")
 def cleaned_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An array without blanks and repeats."""
-    kind = F.when(F.col("p_size") % 4 == 0, "").otherwise(F.col("p_type"))
-    clean = F.array_distinct(F.filter(F.array("p_name", F.col("p_size").cast("string"), kind, "p_name"), lambda x: x != ""))
-    return load(spark, sf_dir, "part").select("p_partkey", clean.isNotNull().alias("ok"), F.size(clean).alias("n"), F.array_join(F.array_sort(clean), ",").alias("clean"))
+    """An array of structs without those of a blank name and without repeats; a null one is told apart from an empty one."""
+    entry = lambda name, n: F.struct(name.alias("name"), n.alias("n"))
+    size, name = F.col("p_size"), F.col("p_name")
+    raw = F.array(entry(name, F.lit(1)), entry(F.when(size % 4 == 0, "").otherwise(F.col("p_type")), (size % 2 + 1).cast("int")), entry(name, F.lit(1)), entry(name, F.lit(2)))
+    clean = F.when(size % 10 > 0, F.array_distinct(F.filter(raw, lambda x: x["name"] != "")))
+    told = F.array_join(F.array_sort(F.transform(clean, lambda x: F.concat_ws("=", x["name"], x["n"].cast("string")))), ",")
+    return load(spark, sf_dir, "part").select("p_partkey", clean.isNotNull().alias("ok"), F.when(clean.isNull(), 0).otherwise(F.size(clean)).alias("n"), told.alias("clean"))
 
 
 _FAMILIES = "(VALUES ('P', 'external', 'work'), ('F', NULL, 'rest'), ('O', 'internal', 'work')) f(bucket, label, family)"
@@ -415,12 +419,12 @@ def swapped_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("position", partner).join(there, "position", "left_semi").unionByName(p.withColumn("position", partner).join(there, "position", "left_anti").select("p_partkey", F.col("p_partkey").alias("position")))
 
 
-@query("SELECT p_partkey, p_brand, CASE p_type WHEN 'STANDARD' THEN 0 WHEN 'PROMO' THEN 1 ELSE 2 END AS band, CAST(sum(p_size) OVER (PARTITION BY p_brand) AS BIGINT) AS brand_total, 24 * 60 - (p_size * 37) % 1440 AS minutes, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN (p_size * 37) % 1440 < 360 THEN (p_size * 37) % 1440 + 1440 ELSE (p_size * 37) % 1440 END, p_partkey) AS place FROM part WHERE p_type NOT IN ('PRISON', 'FIXED')")
+@query("SELECT p_partkey, p_brand, CASE p_type WHEN 'STANDARD' THEN 0 WHEN 'PROMO' THEN 1 ELSE 2 END AS band, CAST(sum(p_size) OVER (PARTITION BY p_brand) AS BIGINT) AS brand_total, 24 * 60 - (p_size * 37) % 1440 AS minutes, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN (p_size * 37) % 1440 < 360 THEN (p_size * 37) % 1440 + 1440 ELSE (p_size * 37) % 1440 END, p_partkey) AS place FROM part WHERE p_type NOT IN ('SMALL', 'LARGE')")
 def emergency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of all but two fixed sections, ordered by their parsed time; nights before six come last."""
     m = (F.col("p_size") * 37) % 1440
     by = Window.partitionBy("p_brand")
     late = F.when(m < 360, m + 1440).otherwise(m)
-    p = load(spark, sf_dir, "part").where(~F.col("p_type").isin("PRISON", "FIXED"))
+    p = load(spark, sf_dir, "part").where(~F.col("p_type").isin("SMALL", "LARGE"))
     band = F.when(F.col("p_type") == "STANDARD", 0).when(F.col("p_type") == "PROMO", 1).otherwise(2)
     return p.select("p_partkey", "p_brand", band.alias("band"), F.sum("p_size").over(by).alias("brand_total"), (F.lit(1440) - m).alias("minutes"), F.row_number().over(by.orderBy(late, "p_partkey")).cast("bigint").alias("place"))

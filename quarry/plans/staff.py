@@ -279,13 +279,14 @@ def guarded_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PEOPLE}, {ASSIGN}, {LEAVES}
 SELECT a.person, a.day, count(*) AS n, bool_or(p.person IS NULL) AS unknown, bool_or(day < joined OR day > left_on) AS off_force, bool_or(service % 500 = 0) AS without_service, bool_or(l.person IS NOT NULL) AS on_leave
-FROM assign a LEFT JOIN people p USING (person) LEFT JOIN (SELECT DISTINCT person, CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS day FROM leaves) l USING (person, day) GROUP BY 1, 2
+FROM assign a LEFT JOIN (SELECT * FROM people WHERE person % 50 <> 7) p USING (person) LEFT JOIN (SELECT DISTINCT person, CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS day FROM leaves) l USING (person, day) GROUP BY 1, 2
 HAVING bool_or(p.person IS NULL) OR bool_or(coalesce(day < joined OR day > left_on, day < joined)) OR bool_or(service % 500 = 0) OR bool_or(l.person IS NOT NULL)""")
 def assignment_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assignments that an upsert would refuse, by person and day."""
     a = assignments(spark, sf_dir)
     rested = _held(a.select("person", "day").distinct(), leaves(spark, sf_dir), F.lit(True), "on_leave")
-    rows = a.join(people(spark, sf_dir).withColumn("known", F.lit(True)), "person", "left").join(rested, ["person", "day"], "left")
+    register = people(spark, sf_dir).where("person % 50 <> 7")  # some people of the lines are not in it
+    rows = a.join(register.withColumn("known", F.lit(True)), "person", "left").join(rested, ["person", "day"], "left")
     off = (F.col("day") < F.col("joined")) | (F.col("day") > F.col("left_on"))
     sums = rows.groupBy("person", "day").agg(F.count("*").alias("n"), F.bool_or(F.col("known").isNull()).alias("unknown"), F.bool_or(off).alias("off_force"), F.bool_or(F.col("service") % 500 == 0).alias("without_service"), F.bool_or(F.col("on_leave").isNotNull()).alias("on_leave"))
     return sums.where(F.col("unknown") | F.coalesce("off_force", F.lit(False)) | F.col("without_service") | F.col("on_leave"))

@@ -43,11 +43,13 @@ def parse_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text.clock(said).alias("clock"), text.sort_minutes(said).cast("bigint").alias("place"), text.clock_minutes(bare).cast("bigint").alias("bare"))
 
 
-@query("SELECT c_custkey, '01' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS phone, 1 AS n FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN '01' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') END AS phone, CAST(CASE WHEN c_custkey % 5 = 0 THEN 0 WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n FROM customer")
 def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers found in text, separators dropped, once each."""
     number = F.concat(F.lit("01"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
-    said = F.concat(F.lit("call "), F.substring(number, 1, 4), F.lit("-"), F.substring(number, 5, 7), F.lit(" or "), number, F.lit(" not 0123"))
+    other = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" or 015"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))).otherwise("")
+    said = F.concat(F.lit("call "), F.substring(number, 1, 4), F.lit("-"), F.substring(number, 5, 7), F.lit(" or "), number, other, F.lit(" not 0123"))
+    said = F.when(F.col("c_custkey") % 5 == 0, "call 0123").otherwise(said)
     found = text.phones(said)
     return load(spark, sf_dir, "customer").select("c_custkey", F.get(found, F.lit(0)).alias("phone"), F.size(found).alias("n"))
 

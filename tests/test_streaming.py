@@ -47,3 +47,53 @@ def test_changed_days(spark, sf, tmp_path):
     table, _ = _stream(spark, sf, tmp_path)
     bursts = activity.changed_days(table, "3 hours")
     assert bursts.agg(F.sum("edits")).first()[0] == table.count()
+
+
+def _confirm(spark, path, number, *rows):
+    spark.createDataFrame([(d, a, r) for d, a, r in rows], "day date, at timestamp, rows string").coalesce(1).write.parquet(f"{path}/{number}")
+
+
+def test_confirmations_emit_what_differs_from_the_kept_snapshot(spark, tmp_path):
+    import datetime as dt
+    import json
+
+    from quarry.streaming import baseline
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    path, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    day, other, at = dt.date(2024, 1, 1), dt.date(2024, 1, 2), lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
+    one, two = {"a": {"name": "x", "n": "1"}, "b": {"name": "y"}}, {"a": {"name": "x", "n": "2"}, "c": {"name": "z"}}
+
+    def run():
+        stream = spark.readStream.schema("day date, at timestamp, rows string").option("recursiveFileLookup", "true").parquet(str(path))
+        query = baseline.confirmed_changes(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        query.awaitTermination()
+        found = sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
+        return found
+
+    _confirm(spark, path, 1, (day, at(0), json.dumps(one)))
+    first = run()
+    assert [(r[0], r[2]) for r in first] == [(day, "confirmed")]  # nothing to compare with: one silent line
+    _confirm(spark, path, 2, (day, at(1), json.dumps(two)), (other, at(1), json.dumps(one)), (day, at(0, 1), json.dumps(one)))
+    second = [r for r in run() if r not in first]
+    assert sorted((r[0], *r[2:]) for r in second if r[0] == day) == sorted([(day, "created", "c", None, None, None), (day, "deleted", "b", None, None, None), (day, "updated", "a", "n", "1", "2")])
+    assert [(r[2]) for r in second if r[0] == other] == ["confirmed"]
+    _confirm(spark, path, 3, (other, at(0, 5), json.dumps(two)))
+    assert [r[2] for r in run() if r not in first + second] == ["stale"]
+    _confirm(spark, path, 4, (dt.date(2024, 5, 1), at(120), "{}"))  # moves the watermark past 60 days
+    run()
+    _confirm(spark, path, 5, (dt.date(2024, 5, 2), at(121), "{}"))
+    known = run()
+    _confirm(spark, path, 6, (day, at(122), json.dumps(one)))
+    assert [r[2] for r in run() if r not in known] == ["confirmed"]  # the day's snapshot is gone
+
+
+def test_snapshots_of_a_table(spark):
+    import datetime as dt
+    import json
+
+    from quarry.streaming import baseline
+
+    rows = [(dt.date(2024, 1, 1), dt.datetime(2024, 1, 1), e, {"k": v}) for e, v in (("b", "1"), ("a", None))]
+    made = baseline.confirmations(spark.createDataFrame(rows, "day date, at timestamp, entity string, fields map<string,string>")).collect()
+    assert json.loads(made[0]["rows"]) in ({"a": {"k": None}, "b": {"k": "1"}}, {"a": {}, "b": {"k": "1"}})
