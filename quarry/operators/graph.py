@@ -24,6 +24,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() wrote, once all that reads them has been written itself."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for edges (a, b): root is the least node of the component.
 
@@ -39,10 +49,16 @@ def components(edges: DataFrame) -> DataFrame:
             mixed = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), F.col(c).alias("k"))  # noqa: B023, E731
             least = both.groupBy("u").agg(F.min_by("v", mixed("v")).alias("v")).select("u", F.when(mixed("v") < mixed("u"), F.col("v")).otherwise(F.col("u")).alias("to"))
         hooks = written(least, "hooks")
-        roots = hooks.toDF("node", "label") if roots is None else written(roots.join(hooks, F.col("label") == F.col("u"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        if roots is None:
+            roots = hooks.toDF("node", "label")
+        else:
+            before, roots = roots, written(roots.join(hooks, F.col("label") == F.col("u"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            discard(before)
+        met = left
         for end in ("a", "b"):
-            left = left.join(hooks.toDF(end, f"to_{end}"), end)
-        left = written(left.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "edges")
+            met = met.join(hooks.toDF(end, f"to_{end}"), end)
+        before, left = left, written(met.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "edges")
+        discard(before, *([hooks] if turn else []))  # the first hooks are the first labels
         turn += 1
     least = roots.groupBy("label").agg(F.min("node").alias("root"))
     return roots.join(least, "label").select("node", "root")

@@ -57,6 +57,26 @@ def first_by(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> Dat
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+def numbered_in_groups(rows: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, size: str | None = None) -> DataFrame:
+    """rows with their place in their group, from 1, and the group's size, if asked for; order should break all ties.
+
+    For groups that may hold a large share of all rows: rows are sorted in ranges over group and order, and counted by
+    group and range, so a group is spread over as many tasks as it fills.
+    """
+    ranges = written(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_part").alias("_of"), before.alias("_before"), F.sum("_n").over(own).alias("_size"))
+    within = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    here = F.col("_part") == F.col("_of")
+    for c in group:
+        here = here & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    # a row for each group of a range: as many as there are ranges, and one more for each group
+    told = ranges.withColumn("_in", within).join(starts, here).withColumn(name, (F.col("_before") + F.col("_in")).cast("bigint"))
+    return told.select(*rows.columns, name, *([F.col("_size").alias(size)] if size else []))
+
+
 def allocate_ids(rows: DataFrame, known: DataFrame, natural: Sequence[str], id_name: str, order: Sequence[str]) -> DataFrame:
     """rows with the id of their natural key: the known one, or the next free numbers in order.
 

@@ -62,11 +62,11 @@ def fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.fill_gaps(stored, old, old.where("id % 3 = 0"), ["id"], "priority")
 
 
-@query("SELECT 'o' || CAST(o_custkey AS VARCHAR) AS name, dense_rank() OVER (ORDER BY o_custkey) AS id FROM (SELECT DISTINCT o_custkey FROM orders)")
+@query("WITH k AS (SELECT DISTINCT o_custkey FROM orders), n AS (SELECT o_custkey, 3 * o_custkey AS id FROM k WHERE o_custkey % 4 = 0) SELECT 'o' || CAST(o_custkey AS VARCHAR) AS name, id FROM n UNION ALL SELECT 'o' || CAST(o_custkey AS VARCHAR), (SELECT max(id) FROM n) + row_number() OVER (ORDER BY o_custkey) FROM k WHERE o_custkey % 4 <> 0")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids by natural key: numbers after the known ones, in order."""
     rows = load(spark, sf_dir, "orders").select("o_custkey").distinct()
-    known = spark.sql("SELECT cast(NULL AS bigint) AS o_custkey, cast(NULL AS bigint) AS id WHERE false")
+    known = rows.where("o_custkey % 4 = 0").withColumn("id", 3 * F.col("o_custkey"))
     numbered = relational.allocate_ids(rows, known, ["o_custkey"], "id", ["o_custkey"])
     return numbered.select(F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("name"), "id")
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import classify, temporal
+from quarry.operators import classify, relational, temporal
 from quarry.plans.domain import LEAVES, events, leaves, load
 from quarry.plans.registry import query
 
@@ -309,8 +309,8 @@ def hidden_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place, count(*) OVER (PARTITION BY s_nationkey) AS of_all FROM supplier")
 def numbered_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows numbered in their group."""
-    by = Window.partitionBy("s_nationkey")
-    return load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.row_number().over(by.orderBy("s_suppkey")).cast("bigint").alias("place"), F.count("*").over(by).alias("of_all"))
+    rows = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    return relational.numbered_in_groups(rows, ["s_nationkey"], [F.col("s_suppkey")], "place", "of_all").drop("s_nationkey")
 
 
 @query(f"WITH {LEAVES} SELECT s AS day, count(*) AS starts FROM leaves WHERE s BETWEEN DATE '1998-06-15' AND DATE '1998-06-18' GROUP BY 1")

@@ -294,10 +294,10 @@ def shape_preserving(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(ts AS DATE) AS day, user_id % 20 AS entity, count(*) AS refs, count(DISTINCT event_type) AS sections FROM events GROUP BY 1, 2")
 def referenced_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days that mention an entity anywhere in their nested sections."""
-    nested = events(spark, sf_dir).groupBy("day", "kind").agg(F.collect_list(F.col("person") % 20).alias("ids"))
-    maps = nested.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("kind", "ids"))).alias("sections"))
-    flat = maps.select("day", F.explode("sections").alias("section", "ids")).select("day", "section", F.explode("ids").alias("entity"))
-    return flat.groupBy("day", "entity").agg(F.count("*").alias("refs"), F.countDistinct("section").alias("sections"))
+    counts = events(spark, sf_dir).groupBy("day", "kind", (F.col("person") % 20).alias("entity")).agg(F.count("*").alias("n"))
+    nested = counts.groupBy("day", "entity").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("sections"))  # a few sections, each with its count
+    refs = F.aggregate(F.map_values("sections"), F.lit(0).cast("bigint"), lambda s, n: s + n)
+    return nested.select("day", "entity", refs.alias("refs"), F.size("sections").cast("bigint").alias("sections"))
 
 
 @query("""WITH k AS (SELECT o_custkey AS k, o_orderstatus AS g, o_orderkey AS id, o_totalprice > 250000 AS big FROM orders), x AS (SELECT k, g, count(*) AS n, bool_or(big) AS big, min(id) AS first FROM k GROUP BY 1, 2)
@@ -423,8 +423,8 @@ def swapped_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def emergency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of all but two fixed sections, ordered by their parsed time; nights before six come last."""
     m = (F.col("p_size") * 37) % 1440
-    by = Window.partitionBy("p_brand")
-    late = F.when(m < 360, m + 1440).otherwise(m)
-    p = load(spark, sf_dir, "part").where(~F.col("p_type").isin("SMALL", "LARGE"))
+    p = load(spark, sf_dir, "part").where(~F.col("p_type").isin("SMALL", "LARGE")).withColumn("late", F.when(m < 360, m + 1440).otherwise(m))
+    totals = p.groupBy("p_brand").agg(F.sum("p_size").alias("brand_total"))
+    placed = relational.numbered_in_groups(p, ["p_brand"], [F.col("late"), F.col("p_partkey")], "place").join(totals, "p_brand")
     band = F.when(F.col("p_type") == "STANDARD", 0).when(F.col("p_type") == "PROMO", 1).otherwise(2)
-    return p.select("p_partkey", "p_brand", band.alias("band"), F.sum("p_size").over(by).alias("brand_total"), (F.lit(1440) - m).alias("minutes"), F.row_number().over(by.orderBy(late, "p_partkey")).cast("bigint").alias("place"))
+    return placed.select("p_partkey", "p_brand", band.alias("band"), "brand_total", (F.lit(1440) - m).alias("minutes"), "place")

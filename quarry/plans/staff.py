@@ -239,9 +239,9 @@ def rest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PEOPLE}, {VERSIONS}, {LEAVES}, {COURSES}, {_REST_DAY}, {_STATES} SELECT person, next_rest, state, row_number() OVER (PARTITION BY state ORDER BY next_rest NULLS LAST, person) AS place FROM st WHERE state IN ('shortfall', 'upcoming')")
 def rest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of each state by date; states hold those of three days at most, so a window of one is small."""
-    place = F.row_number().over(Window.partitionBy("state").orderBy(F.col("next_rest").asc_nulls_last(), "person")).cast("bigint")
-    return _rest_states(spark, sf_dir).where(F.col("state").isin("shortfall", "upcoming")).withColumn("place", place)
+    """Alerts of each state by date, numbered over ranges: a state may hold a third of all people."""
+    alerts = _rest_states(spark, sf_dir).where(F.col("state").isin("shortfall", "upcoming"))
+    return relational.numbered_in_groups(alerts, ["state"], [F.col("next_rest").asc_nulls_last(), F.col("person")], "place")
 
 
 @query(f"""WITH {PEOPLE}, {LEAVES}
@@ -305,10 +305,9 @@ def detached_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PEOPLE} SELECT person, CASE WHEN left_on IS NULL THEN row_number() OVER (PARTITION BY rank, left_on IS NULL ORDER BY name) ELSE row_number() OVER (PARTITION BY rank, left_on IS NULL ORDER BY left_on DESC, name) END AS place, rank, left_on IS NOT NULL AS archived FROM people""")
 def roster_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2: the active block by rank and name, the archived one by the day of leaving, latest first."""
-    archived = F.col("left_on").isNotNull()
-    w = Window.partitionBy("rank", archived)
-    place = F.row_number().over(w.orderBy(F.desc("left_on"), "name"))
-    return people(spark, sf_dir).select("person", place.cast("bigint").alias("place"), "rank", archived.alias("archived"))
+    rows = people(spark, sf_dir).withColumn("archived", F.col("left_on").isNotNull())
+    placed = relational.numbered_in_groups(rows, ["rank", "archived"], [F.desc("left_on"), F.col("name"), F.col("person")], "place")
+    return placed.select("person", "place", "rank", "archived")
 
 
 @query(f"""WITH {PEOPLE}, {ASSIGN} SELECT d.day, d.section, x.role, CASE x.role WHEN 'configured' THEN min(CASE WHEN rank = 0 THEN person END) WHEN 'shared' THEN min(CASE WHEN rank <= 2 THEN person END) ELSE min(person) END AS candidate, coalesce(min(CASE WHEN rank = 0 THEN person END), min(CASE WHEN rank <= 2 THEN person END), min(person)) AS signer

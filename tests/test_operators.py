@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import pytest
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ def test_change_points_without_blips_against_a_loop(spark):
     assert values(temporal.change_points_without_blips(df, "person", "at", "state"), "person", "at", "state") == sorted(want, key=str)
 
 
-def test_greedy_pairs_against_a_loop(spark, sf):
+@pytest.mark.parametrize("walked", [10_000, 0])
+def test_greedy_pairs_against_a_loop(spark, sf, monkeypatch, walked):
+    monkeypatch.setattr(matching, "WALKED", walked)
     scored = [tuple(r) for r in plans._scored(spark, sf).collect()]
     want, used = [], set()
     for g, a, b, s in sorted(scored, key=lambda r: (r[0], -r[3], r[1], r[2])):
@@ -240,3 +243,16 @@ def test_text_functions(spark):
 def test_dates(spark):
     row = spark.range(1).select(dates.canonical_day(F.lit("2024-2-3")), dates.canonical_day(F.lit("20240203")), dates.canonical_day(F.lit("2024-02-31")), dates.weekday_name(F.lit("2024-02-03").cast("date")), dates.next_weekday(F.lit("2024-02-03").cast("date"), F.lit(0))).first()
     assert (row[0], row[1], row[2], row[3], row[4]) == (None, "2024-02-03", None, "السبت", D(2024, 2, 10))
+
+
+def test_places_in_groups_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import relational
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [("a", k * 7 % 101, None) for k in range(101)] + [("b", 1, None), (None, 2, None), (None, 1, None)]
+    df = spark.createDataFrame(rows, "g string, v int, x string")
+    got = sorted(((r["g"] or "", r["v"], r["place"], r["n"]) for r in relational.numbered_in_groups(df, ["g"], [F.desc("v")], "place", "n").collect()))
+    assert got == sorted([("a", v, 101 - v, 101) for v in range(101)] + [("b", 1, 1, 1), ("", 2, 1, 2), ("", 1, 2, 2)])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
