@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quarry.functions.dates import WEEKDAYS
+
 #: Arabic letters that are written in several ways, and what each is folded to.
 FOLD_FROM, FOLD_TO = "أإآٱىةؤئ", "اااايهوي"
 #: Arabic-Indic and Persian digits.
@@ -219,9 +221,12 @@ def token_f1(a: Column, b: Column, cap: float) -> Column:
 
 
 def leave_interval(c: Column, year: Column) -> Column:
-    """(s, e, k, of_n): 'd/M to d/M' of that year, the end a year later if it would come before the start; a counter (k/n)."""
+    """(s, e, k, of_n): 'd/M to d/M' of that year, the end a year later if it would come before the start; a counter (k/n).
+
+    Between the dates may stand to, until or a dash, or the Arabic words for them.
+    """
     plain = fold_digits(c)
-    span, count = r"(\d{1,2})/(\d{1,2}) to (\d{1,2})/(\d{1,2})", r"\((\d+)/(\d+)\)"
+    span, count = r"(\d{1,2})/(\d{1,2})\s*(?:to|until|-|الى|إلى|الي|حتى|حتي)\s*(\d{1,2})/(\d{1,2})", r"\((\d+)/(\d+)\)"
     part = lambda k: F.try_to_number(F.nullif(F.regexp_extract(plain, span, k), F.lit("")), F.lit("99")).cast("int")
     number = lambda k: F.try_to_number(F.nullif(F.regexp_extract(plain, count, k), F.lit("")), F.lit("99")).cast("int")
     day = lambda y, m, d: F.try_to_date(F.format_string("%d-%02d-%02d", y, m, d), "yyyy-MM-dd")
@@ -242,8 +247,14 @@ def dates_in(c: Column) -> Column:
 
 
 def weekday_in(c: Column) -> Column:
-    """The first English weekday in a text, blank if there is none."""
-    return F.regexp_extract(c, r"\b((?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day)\b", 1)
+    """The weekday in a text by its English name, blank if there is none; an English one comes before an Arabic one."""
+    english = F.regexp_extract(c, r"\b((?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day)\b", 1)
+    words = F.split(fold(c), " ")
+    found: Column | None = None
+    for name, told in zip(WEEKDAYS, ("Saturday", "Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday"), strict=True):
+        here = F.array_contains(words, fold(F.lit(name)))
+        found = F.when(here, told) if found is None else found.when(here, told)
+    return F.when(english != "", english).otherwise(F.coalesce(found.otherwise(""), F.lit("")))
 
 
 @F.pandas_udf(StringType())

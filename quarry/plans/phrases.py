@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import text
+from quarry.functions import dates, text
 from quarry.operators import classify, matching
 from quarry.plans.domain import load
 from quarry.plans.registry import query
@@ -138,7 +138,7 @@ def leave_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals (with a roll-over of the year), counters k/n and statuses out of free text."""
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 9 + 1).cast("int").alias("n"))
     short = lambda c: F.date_format(c, "d/M")
-    written = F.when(F.col("id") % 3 == 0, F.concat(F.lit("rest from "), short(F.col("day")), F.lit(" to "), short(F.date_add("day", F.col("n"))))).when(F.col("id") % 3 == 1, F.concat(F.lit("on rest ("), F.least("n", F.lit(5)).cast("string"), F.lit("/5)"))).otherwise("called in sick")
+    written = F.when(F.col("id") % 3 == 0, F.concat(F.lit("rest from "), short(F.col("day")), F.when(F.col("id") % 2 == 0, " to ").otherwise(" حتى "), short(F.date_add("day", F.col("n"))))).when(F.col("id") % 3 == 1, F.concat(F.lit("on rest ("), F.least("n", F.lit(5)).cast("string"), F.lit("/5)"))).otherwise("called in sick")
     told = text.leave_interval(written, F.year("day"))
     status = F.when(F.col("id") % 3 == 0, "").otherwise(text.by_keyword(written, [("sick", ["sick"]), ("rest", ["rest"])], ""))
     return o.select("id", told.alias("x"), status.alias("status")).select("id", "x.s", "x.e", "status", "x.k", "x.of_n")
@@ -148,7 +148,7 @@ def leave_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dates_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All dates of a text, whichever way they are written, and its weekday; marks of direction are dropped."""
     e = load(spark, sf_dir, "events")
-    written = F.concat(F.lit("‏on "), F.date_format("ts", "EEEE"), F.lit(" "), F.date_format("ts", "d/M/yyyy"), F.lit("‎ until "), F.date_format(F.date_add(F.col("ts").cast("date"), 3), "yyyy-MM-dd"), F.lit(" 45/45/2020"))
+    written = F.concat(F.lit("‏on "), F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "EEEE")).otherwise(dates.weekday_name(F.col("ts").cast("date"))), F.lit(" "), F.date_format("ts", "d/M/yyyy"), F.lit("‎ until "), F.date_format(F.date_add(F.col("ts").cast("date"), 3), "yyyy-MM-dd"), F.lit(" 45/45/2020"))
     return e.select("event_id", F.array_join(text.dates_in(written), ",").alias("days"), text.weekday_in(written).alias("weekday"))
 
 
