@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import apart, bounded, give_back, in_batches, map_arrow, materialize, slices
+from quarry.llm.common import apart, give_back, in_batches, map_arrow, materialize, slices
 
 MIN_WORDS, MIN_SENTENCES = 25, 2
 #: What ends a sentence: . ! or ? and the white space behind it, or line feeds.
@@ -119,13 +119,13 @@ def repeated(documents: DataFrame, min_words: int = MIN_WORDS, min_sentences: in
     """(doc, text_hash, at, size): the runs of sentences of each document that are a span's later occurrences.
 
     First occurrences are found by sums that start before the shuffle, so a span in a third of all documents is no
-    burden there. Spans that occur in several documents are then joined back to their places: by broadcast while
-    there are few, else by a shuffle, in which Spark splits what is skewed.
+    burden there. Spans that occur in several documents are then joined back to their places by a shuffle, in which
+    Spark splits what is skewed: the same way at every size.
     """
     found = corpus_spans(documents, min_words, min_sentences)
     key = F.struct("doc", "text_hash")
     first = found.groupBy("span").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last")
-    first = bounded(materialize(first.select("span", "first"), "repeated-spans"))
+    first = materialize(first.select("span", "first"), "repeated-spans")
     later = found.join(first, "span", "left").where(F.col("again") | (key > F.col("first")))
     runs = later.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     return runs.select("doc", "text_hash", F.transform("runs", lambda r: r["at"]).alias("at"), F.transform("runs", lambda r: r["size"]).alias("size"))
