@@ -87,6 +87,22 @@ def in_batches(df: DataFrame, size: str = "4m") -> DataFrame:
     return df
 
 
+#: Rows of long texts that a Parquet reader holds at a time.
+READ_ROWS = 64
+
+
+def short_reads(df: DataFrame, rows: int = READ_ROWS) -> DataFrame:
+    """df, whose Parquet files are read so many rows at a time at most.
+
+    By default Spark reads 4,096 rows, which of long texts are tens of MB for each task, in arrays that are allocated
+    anew with twice the size as they grow; the executor's heap grows with them and is not given back.
+    This sets spark.sql.parquet.columnarReaderBatchSize of the session.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.parquet.columnarReaderBatchSize"
+    conf.set(name, str(min(rows, int(conf.get(name)))))
+    return df
+
+
 def give_back() -> None:
     """Returns this worker's free memory to the system: an idle worker waits for its next task with little."""
     pa.default_memory_pool().release_unused()

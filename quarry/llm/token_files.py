@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import huffman
-from quarry.llm.common import discard, map_arrow, materialize, shared_path, slices
+from quarry.llm.common import discard, map_arrow, materialize, shared_path, short_reads, slices
 from quarry.llm.tokens import END_ID, encoder
 
 #: A block is closed once it holds so many ids.
@@ -32,7 +32,7 @@ _BLOCKS = "part int, before long, doc_ids array<{}>, sizes array<long>, checkpoi
 
 def tokenize(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(part, before, doc_id, n_tokens, ids) by ascending doc_id; before: ids of the part's earlier documents; ids: 16-bit."""
-    docs = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    docs = short_reads(documents).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
@@ -137,7 +137,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def schema(batch: pa.RecordBatch) -> pa.Schema:
         return pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_id", batch.column("doc_ids").type.value_type), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
-    found = map_arrow(blocks, run, f"part int, before long, doc_id {kind}, n_tokens long, ids_crc32 long, ids binary")
+    found = map_arrow(short_reads(blocks), run, f"part int, before long, doc_id {kind}, n_tokens long, ids_crc32 long, ids binary")
     parts = spark.read.parquet(f"{path}/parts")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     starts = parts.select("part", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("first"))

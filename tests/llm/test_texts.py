@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.llm import html_extract, huffman, langid, media, packing, quality, queries, token_files
+from quarry.llm.common import READ_ROWS
 from quarry.llm.tokens import PieceEncoder
 
 ODD = [None, "", " ", "\n", "a", "Émile a été là.", "x" * 200_000, "日本語", "12 34 !!", "a\x00b", "😀 😀"]
@@ -101,6 +102,29 @@ def test_token_files_of_odd_rows(spark, odd):
     assert token_files.round_trip(odd.where("false")).collect() == []
 
 
+def reader_batches(node):
+    """Rows and batches that the Parquet reader of a plan that ran has given."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return reader_batches(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return reader_batches(node.plan())
+    if name == "ColumnarToRow":
+        return [node.metrics().apply(x).value() for x in ("numOutputRows", "numInputBatches")]
+    children = node.children()
+    return reader_batches(children.apply(0)) if children.size() else []
+
+
+def test_long_texts_are_read_few_rows_at_a_time(spark, tmp_path):
+    texts = spark.range(300, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" words ")), 50).alias("text"))
+    texts.write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    got = token_files.tokenize(docs).drop("ids")
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(300))
+    rows, batches = reader_batches(got._jdf.queryExecution().executedPlan())
+    assert rows and rows / batches <= READ_ROWS
+
+
 def check_packing(rows, lengths):
     pieces, sequences = {}, {}
     for r in rows:
