@@ -165,9 +165,12 @@ def capped_gaps(rows: DataFrame, owner: str, ts: str, event: str, login: str, lo
     return rows.withColumn("_seconds", F.coalesce(seconds, F.lit(0))).groupBy(owner).agg(F.sum("_seconds").alias("seconds"))
 
 
-def close_periods(periods: DataFrame, owner: str, start: str = "s", end: str = "e") -> DataFrame:
-    """Periods of one owner cut the day before the next begins; those that vanish are dropped."""
-    nxt = F.lead(start).over(Window.partitionBy(owner).orderBy(start, end))
+def close_periods(periods: DataFrame, owner: str, start: str = "s", end: str = "e", ties: Sequence[str] = ()) -> DataFrame:
+    """Periods of one owner cut the day before the next begins; those that vanish are dropped.
+
+    ties: columns that tell which of several periods with the same start and end comes first; the last of them stays.
+    """
+    nxt = F.lead(start).over(Window.partitionBy(owner).orderBy(start, end, *ties))
     cut = F.when(nxt.isNull(), F.col(end)).otherwise(F.least(F.coalesce(F.col(end), F.date_sub(nxt, 1)), F.date_sub(nxt, 1)))
     return periods.withColumn(end, cut).where(F.col(end).isNull() | (F.col(end) >= F.col(start)))
 

@@ -173,8 +173,8 @@ def best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LEAVES}, c AS (SELECT id, person, s, least(e, coalesce(lead(s) OVER (PARTITION BY person ORDER BY s, e) - 1, e)) AS e FROM leaves) SELECT * FROM c WHERE e >= s")
 def close_status_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A period ends the day before the next one of its owner begins."""
-    return temporal.close_periods(leaves(spark, sf_dir), "person").select("id", "person", "s", "e")
+    """A period ends the day before the next one of its owner begins; of equal ones that of the greatest id stays."""
+    return temporal.close_periods(leaves(spark, sf_dir), "person", ties=["id"]).select("id", "person", "s", "e")
 
 
 @query("SELECT event_type AS name, max(CAST(ts AS DATE)) AS last_day, min(event_id) AS first_seen, row_number() OVER (ORDER BY max(CAST(ts AS DATE)) DESC, min(event_id)) AS place FROM events GROUP BY 1")

@@ -256,3 +256,9 @@ def test_places_in_groups_over_ranges(spark):
     got = sorted(((r["g"] or "", r["v"], r["place"], r["n"]) for r in relational.numbered_in_groups(df, ["g"], [F.desc("v")], "place", "n").collect()))
     assert got == sorted([("a", v, 101 - v, 101) for v in range(101)] + [("b", 1, 1, 1), ("", 2, 1, 2), ("", 1, 2, 2)])
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_equal_periods_keep_the_greatest_id_however_rows_come(spark):
+    for ids in ([1, 2, 3], [3, 2, 1], [2, 3, 1]):
+        rows = spark.createDataFrame([(k, "a", D(2020, 1, 1), D(2020, 1, 5)) for k in ids] + [(9, "a", D(2020, 1, 4), D(2020, 1, 4))], "id long, person string, s date, e date").coalesce(1)
+        assert values(temporal.close_periods(rows, "person", ties=["id"]), "id", "e") == [(3, D(2020, 1, 3)), (9, D(2020, 1, 4))]
