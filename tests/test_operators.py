@@ -262,3 +262,22 @@ def test_equal_periods_keep_the_greatest_id_however_rows_come(spark):
     for ids in ([1, 2, 3], [3, 2, 1], [2, 3, 1]):
         rows = spark.createDataFrame([(k, "a", D(2020, 1, 1), D(2020, 1, 5)) for k in ids] + [(9, "a", D(2020, 1, 4), D(2020, 1, 4))], "id long, person string, s date, e date").coalesce(1)
         assert values(temporal.close_periods(rows, "person", ties=["id"]), "id", "e") == [(3, D(2020, 1, 3)), (9, D(2020, 1, 4))]
+
+
+def test_pairs_are_scored_once_for_each_two_texts(spark, monkeypatch):
+    monkeypatch.setattr(matching, "TOGETHER", 3)
+    scored, plain = [], matching.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "scores":
+            scored.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "written", counted)
+    rows = [(k, "g" if k % 5 else "h", None if k % 7 == 0 else f"t{k % 2}") for k in range(40)] + [(99, None, "t0")]
+    left = spark.createDataFrame(rows, "a long, g string, x string")
+    right = left.toDF("b", "g", "y")
+    got = sorted(tuple(r) for r in matching.scored_pairs(left, right, ["g"], lambda x, y: F.struct(x.eqNullSafe(y).alias("same")), ["same"]).collect())
+    assert got == sorted((a, b, x == y) for a, g, x in rows for b, h, y in rows if g is not None and g == h)
+    assert scored == [9]
