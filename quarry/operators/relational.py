@@ -52,6 +52,16 @@ def overlapping_sets(rows: DataFrame, by: Sequence[str], key: str, members: str)
     return flat.join(other, [*by, "_m"]).where("a_key < b_key").select(*by, "a_key", "b_key").distinct()
 
 
+def links_of_sets(rows: DataFrame, by: Sequence[str], key: str, members: str) -> DataFrame:
+    """(a, b), a < b: for rows equal in `by` the least row of each member with every other one of it.
+
+    They connect the same rows as all pairs that share a member do, and are no more than the members.
+    """
+    flat = rows.select(*by, F.col(key).alias("b"), F.explode(members).alias("_m"))
+    first = flat.groupBy(*by, "_m").agg(F.min("b").alias("a"))
+    return flat.join(first, [*by, "_m"]).where("a < b").select("a", "b").distinct()
+
+
 def first_by(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row for each `by`: the first in order, which should break all ties."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")

@@ -357,8 +357,7 @@ def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one name with overlapping people become one, again and again until nothing changes."""
     people_of = F.array_distinct(F.array((F.col("p_size") % 12).cast("bigint"), F.col("p_partkey") % 9))
     r = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_name", "p_size", people_of.alias("people"))
-    pairs = relational.overlapping_sets(r, ["p_brand", "p_name"], "id", "people").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
-    roots = graph.components(pairs)
+    roots = graph.components(relational.links_of_sets(r, ["p_brand", "p_name"], "id", "people"))
     rows = r.join(roots, r["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
     return rows.groupBy("root").agg(F.count("*").alias("merged"), F.max("p_size").alias("most"), _ids(F.array_distinct(F.flatten(F.collect_list("people")))).alias("people"))
 

@@ -281,3 +281,12 @@ def test_pairs_are_scored_once_for_each_two_texts(spark, monkeypatch):
     got = sorted(tuple(r) for r in matching.scored_pairs(left, right, ["g"], lambda x, y: F.struct(x.eqNullSafe(y).alias("same")), ["same"]).collect())
     assert got == sorted((a, b, x == y) for a, g, x in rows for b, h, y in rows if g is not None and g == h)
     assert scored == [9]
+
+
+def test_links_of_sets_are_no_more_than_their_members(spark):
+    rows = [(k, "g" if k < 150 else "h", [k % 3, 3 + k % 5] if k % 10 else [100 + k]) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, people array<long>")
+    links = relational.links_of_sets(df, ["g"], "id", "people")
+    every = relational.overlapping_sets(df, ["g"], "id", "people").selectExpr("a_key AS a", "b_key AS b")
+    assert values(graph.components(links), "node", "root") == values(graph.components(every), "node", "root")
+    assert links.count() <= sum(len(p) for _, _, p in rows) < every.count()
